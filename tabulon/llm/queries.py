@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe
+from tabulon.llm import bpe, simhash
 
 QUERIES = {
     "op3_byte_bpe": bpe.query,
+    "op6_simhash_groups": simhash.query,
 }
 
 ORACLES: dict[str, str] = {}
