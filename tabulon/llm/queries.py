@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, simhash
+from tabulon.llm import bpe, quality_rules, simhash
 
 QUERIES = {
     "op3_byte_bpe": bpe.query,
+    "op4_host_rules": quality_rules.query,
     "op6_simhash_groups": simhash.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_host_rules": quality_rules.ORACLE,
+}
