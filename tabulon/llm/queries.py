@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, quality_rules, simhash
+from tabulon.llm import bpe, language_id, quality_rules, simhash
 
 QUERIES = {
+    "op2_language_mixture": language_id.query,
     "op3_byte_bpe": bpe.query,
     "op4_host_rules": quality_rules.query,
     "op6_simhash_groups": simhash.query,
