@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, language_id, quality_rules, simhash
+from tabulon.llm import bpe, language_id, mixing, quality_rules, simhash
 
 QUERIES = {
+    "op1_mix_sources": mixing.query,
     "op2_language_mixture": language_id.query,
     "op3_byte_bpe": bpe.query,
     "op4_host_rules": quality_rules.query,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mix_sources": mixing.ORACLE,
     "op4_host_rules": quality_rules.ORACLE,
 }
