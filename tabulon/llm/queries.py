@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, language_id, mixing, quality_rules, simhash
+from tabulon.llm import bpe, language_id, mixing, pii, quality_rules, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_bpe": bpe.query,
     "op4_host_rules": quality_rules.query,
     "op6_simhash_groups": simhash.query,
+    "op8_personal_data": pii.query,
 }
 
 ORACLES: dict[str, str] = {
