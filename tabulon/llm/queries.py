@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, language_id, main_text, mixing, neighbours, pii, quality_rules, simhash, toxicity
+from tabulon.llm import bpe, language_id, main_text, mixing, neighbours, perplexity, pii, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash_groups": simhash.query,
     "op7_main_text": main_text.query,
     "op8_personal_data": pii.query,
+    "op9_perplexity": perplexity.query,
     "op10_nearest": neighbours.query,
 }
 
