@@ -48,6 +48,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar widget widgets cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments disqus respond replies pagination pager toolbar skip".split()
 )
+BESIDE = frozenset("comment comments replies respond disqus related recommended recommendations sidebar".split())
 MARKED = re.compile(r"^(?:content|main|article|post|entry|story)$|^(?:main|article|post|entry|story|page)[-_](?:content|body|text)$", re.I)
 CONTAINERS = frozenset("div section ul ol dl table aside figure fieldset blockquote header center".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li pre address".split())
@@ -142,8 +143,10 @@ def left_out(node: Node, inside: bool) -> bool:
         return True
     if names.get("role", "").lower() in ROLES:
         return True
-    if node.tag in ("html", "body", "article", "main") or node.holds_article:
+    if node.tag in ("html", "body", "article", "main"):
         return False
+    if node.holds_article:  # a wrapper of the content, unless it holds the articles of readers or of other pages
+        return bool(BESIDE.intersection(f"{names.get('class', '')} {names.get('id', '')}".lower().split()))
     for token in f"{names.get('class', '')} {names.get('id', '')}".lower().split():
         first = re.split(r"[-_]", token)[0]
         if (token in NAMES or first in NAMES) and not (inside and first == "header"):
