@@ -75,13 +75,15 @@ def typed(c: Column, null_tokens: tuple[str, ...] = NULL_TOKENS, formats: tuple[
     kind, num, txt = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("string")
     make = lambda k=kind, n=num, t=txt: F.struct(k.alias("kind"), n.alias("num"), t.alias("txt"))
     date = F.when(s.rlike(r"[ /-]") & ~s.contains(":"), canonical_date(s, formats))
+    # The chain of formats is long: a lambda over one value evaluates it once and keeps it out of generated code, whose
+    # methods it would make too large to compile.
+    text = F.element_at(F.transform(F.array(date), lambda d: make(F.when(d.isNull(), "str").otherwise("date"), num, F.coalesce(d, s))), 1)
     return (
         F.when(c.isNull() | c.isin(*null_tokens) | (F.lower(d) == "nan"), F.lit(None))
         .when(d.rlike(INTEGER), make(F.lit("int"), number))
         .when(d.rlike(FLOAT), make(F.lit("float"), number))
         .when(endless, make(F.lit("float"), F.when(d.startswith("-"), float("-inf")).otherwise(float("inf"))))
-        .when(date.isNotNull(), make(F.lit("date"), num, date))
-        .otherwise(make(F.lit("str"), num, s))
+        .otherwise(text)
     )
 
 
