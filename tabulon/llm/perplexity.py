@@ -29,6 +29,8 @@ MARGIN = 1.25
 #: A short text says little: so many standard errors of its mean count in its favour.
 SPREAD = 2.0
 PACK_CHARS = 1 << 22
+#: Symbols that a task counts at once; its arrays are some hundred bytes for each.
+COUNT_CHARS = 1 << 19
 
 
 def symbols(text: str | None) -> np.ndarray:
@@ -78,7 +80,7 @@ def block_grams(src: DataFrame, trust: Callable[[str | None], bool] = trusted) -
             parts, weights, size, last = [], [], 0, None
             for block, text in zip(batch.column(0).to_pylist(), batch.column(3)):
                 text = text.as_py()
-                if parts and (block != last or size > PACK_CHARS):
+                if parts and (block != last or size > COUNT_CHARS):
                     add(last, parts, weights)
                     parts, weights, size = [], [], 0
                 g = grams(text)
