@@ -34,7 +34,7 @@ def article_metadata(records: DataFrame, column: str = "article_metadata") -> Da
 
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     """The cells of many CSV tables of any shape: table_id is the file's name. Each file is one line-safe split."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.csv)?$", 1).alias("table_id"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.csv)?$", 1).alias("table_id"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"))
     rows = lines.select("table_id", F.get("l", F.lit(0)).alias("h"), F.posexplode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))).alias("row_idx", "line"))
     rows = rows.select("table_id", "row_idx", fields("h", ",").alias("header"), fields("line", ",").alias("values"))
     each = F.explode(F.transform(F.sequence(F.lit(0), F.size("header") - 1), lambda i: F.struct(i.alias("col_idx"), F.get("header", i).alias("col_name"), F.nullif(F.get("values", i), F.lit("")).alias("raw"))))
