@@ -28,6 +28,8 @@ TABLES = 6
 PROJECTIONS = 5
 WIDTH = 2.6
 COVER = 0.40
+#: Buckets that cover so much are visited first; what they hold bounds what the others have to send.
+FIRST = 0.12
 #: Rows of the sample that the expected nearness and each query's bound are taken from, and rows of a tile's side.
 SAMPLE = 4000
 TILE = 4096
@@ -64,8 +66,8 @@ class Hashes:
         cells = np.floor((self.lifted(x) @ self.a[t] + self.b[t]) / WIDTH).astype(np.int64) + 128
         return (np.clip(cells, 0, 255) << (8 * np.arange(cells.shape[1]))).sum(1)
 
-    def visits(self, q: np.ndarray, t: int, bucket: np.ndarray, rows: np.ndarray, cover: float = COVER) -> Iterator[np.ndarray]:
-        """For each query, the places in ``bucket`` that it visits, best first."""
+    def visits(self, q: np.ndarray, t: int, bucket: np.ndarray, rows: np.ndarray, cover: float = COVER) -> Iterator[tuple[np.ndarray, int]]:
+        """For each query, the places in ``bucket`` that it visits, best first, and how many of them come first."""
         unit = q / np.sqrt((q * q).sum(1, keepdims=True))
         at = np.column_stack([unit, np.zeros(len(q))]) @ self.a[t]
         cells = (bucket[:, None] >> (8 * np.arange(at.shape[1])) & 255) - 128
@@ -78,8 +80,9 @@ class Hashes:
         p = np.exp(log_p)
         order = np.argsort(-p / rows, 1, kind="stable")
         covered = np.cumsum(np.take_along_axis(p, order, 1), 1)
-        for i, n in enumerate((covered < cover * np.minimum(1, covered[:, -1:])).sum(1) + 1):
-            yield order[i, :n]
+        upto = lambda share: (covered < share * np.minimum(1, covered[:, -1:])).sum(1) + 1
+        for i, (n, first) in enumerate(zip(upto(cover), upto(min(FIRST, cover)))):
+            yield order[i, :n], first
 
 
 def vectors(keys: list[bytes] | pa.Array) -> np.ndarray:
@@ -191,12 +194,12 @@ def search(rows: DataFrame, query_ids, nearest: int = NEAREST, cover: float = CO
 
     ready = written(asked.mapInArrow(bounded, "query_id bigint, q binary, bound double, seen array<struct<vec_id:bigint,score:double>>"), "queries")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch], later: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q, own, low = vectors(batch.column(1)), batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for t, (bucket, rows_in) in known.value.items():
                 for i in range(0, len(q), 256):
-                    seen = list(shared.value.visits(q[i : i + 256], t, bucket, rows_in, cover))
+                    seen = [v[first:] if later else v[:first] for v, first in shared.value.visits(q[i : i + 256], t, bucket, rows_in, cover)]
                     who = np.repeat(np.arange(len(seen)), list(map(len, seen))) + i
                     at = np.concatenate(seen)
                     yield pa.RecordBatch.from_arrays(
@@ -204,8 +207,6 @@ def search(rows: DataFrame, query_ids, nearest: int = NEAREST, cover: float = CO
                         names=["t", "bucket", "slices", "query_id", "q", "bound"],
                     )
 
-    probes = ready.select("query_id", "q", "bound").mapInArrow(probe, "t int, bucket bigint, slices bigint, query_id bigint, q binary, bound double")
-    probes = probes.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))).withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
     slices = F.create_map(*[x for t, b, c in directory if c > TILE for x in (F.lit(f"{t}:{b}"), F.lit(-(-c // TILE)).cast("bigint"))]) if any(r[2] > TILE for r in directory) else None
     many = F.coalesce(F.try_element_at(slices, F.concat_ws(":", "t", "bucket")), F.lit(1).cast("bigint")) if slices is not None else F.lit(1).cast("bigint")
     tiles = placed.withColumn("slice", F.pmod(F.xxhash64("key"), many)).withColumn("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
@@ -218,11 +219,24 @@ def search(rows: DataFrame, query_ids, nearest: int = NEAREST, cover: float = CO
             found = best(vectors(left.column("q")), left.column("bound").to_numpy(), vectors(right.column("key")), right.column("ids").to_pylist(), left.column("query_id").to_numpy(), nearest)
         return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(found, kinds)], names=names)
 
-    met = probes.select(*by, "query_id", "q", "bound").groupBy(*by).cogroup(tiles.select(*by, "key", "ids").groupBy(*by)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    seen = ready.select("query_id", F.explode("seen").alias("s")).select("query_id", "s.vec_id", "s.score")
-    merged = met.unionByName(seen).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def round_of(queries: DataFrame, later: bool) -> DataFrame:
+        probes = queries.select("query_id", "q", "bound").mapInArrow(lambda batches: probe(batches, later), "t int, bucket bigint, slices bigint, query_id bigint, q binary, bound double")
+        probes = probes.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))).withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
+        met = probes.select(*by, "query_id", "q", "bound").groupBy(*by).cogroup(tiles.select(*by, "key", "ids").groupBy(*by)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+        return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+
+    def leading(found: DataFrame) -> DataFrame:
+        each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+
+    seen = ready.select("query_id", F.explode("seen").alias("s")).select("query_id", "s.vec_id", "s.score")
+    first = written(leading(round_of(ready, False).unionByName(seen)), "first")
+    low = first.where(F.col("rank") == nearest).select("query_id", F.col("score").alias("low"))
+    bounded_now = ready.drop("seen").join(low, "query_id", "left").select("query_id", "q", F.coalesce("low", "bound").alias("bound"))
+    rest = round_of(bounded_now, True)
+    return leading(first.drop("rank").unionByName(rest))
 
 
 def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
