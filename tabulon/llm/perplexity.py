@@ -23,11 +23,11 @@ from tabulon.llm.common import table, written
 ORDER = 4
 BITS = 12
 END = 1
-#: The quantile of trusted documents' perplexity, and how far above it a document may lie.
+#: The quantile of trusted documents' perplexity up to which a document is kept.
 QUANTILE = 0.99
-MARGIN = 1.25
-#: A short text says little: so many standard errors of its mean count in its favour.
+#: A text too short to be trusted says little: so many standard errors of its mean count in its favour.
 SPREAD = 2.0
+LEAST_CHARS = 200
 PACK_CHARS = 1 << 22
 #: Symbols that a task counts at once; its arrays are some hundred bytes for each.
 COUNT_CHARS = 1 << 19
@@ -52,7 +52,7 @@ def grams(text: str | None) -> np.ndarray:
 def trusted(text: str | None) -> bool:
     """Long enough, nearly all letters and spaces, and words that vary: text to learn from."""
     text = text or ""
-    if len(text) < 200:
+    if len(text) < LEAST_CHARS:
         return False
     words = text.split()
     plain = sum(map(len, filter(str.isalpha, (w.strip(".,;:!?\"'()") for w in words))))
@@ -191,19 +191,22 @@ def perplexities(docs: DataFrame, trust: Callable[[str | None], bool] = trusted,
     return met.mapInArrow(run, f"doc_id {kind}, lang string, trusted boolean, n_grams bigint, perplexity double, at_least double")
 
 
-def judge(docs: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, trust: Callable[[str | None], bool] = trusted, id_col: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, quantile: float = QUANTILE, trust: Callable[[str | None], bool] = trusted, id_col: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """doc_id, lang, trusted, n_grams, perplexity, at_least, threshold and kept of every row.
 
+    A text is kept up to its language's quantile of perplexity; one too short to be trusted is held against it
+    by at_least, its perplexity less SPREAD standard errors.
     A null or empty text is one end symbol and isn't kept. A language (null is one) without trusted texts
     takes the threshold of all trusted texts; without any, every text is kept. Repeated rows are rows of
     their own; other columns aren't read. Empty in, empty out.
     """
     scored = written(perplexities(docs, trust, id_col, lang, text), "scored")
     own = scored.where("trusted")
-    by = written(own.groupBy(F.col("lang").alias("_lang")).agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("own")), "quantiles")
-    whole = own.agg(F.percentile_approx("perplexity", quantile, 10_000) * margin).first()[0]
+    by = written(own.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own")), "quantiles")
+    whole = own.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
     out = scored.join(by, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("own", F.lit(whole).cast("double"))).drop("_lang", "own")
-    return out.withColumn("kept", (F.col("n_grams") > 1) & F.coalesce(F.col("at_least") <= F.col("threshold"), F.lit(True)))
+    measure = F.when(F.col("n_grams") <= LEAST_CHARS, F.col("at_least")).otherwise(F.col("perplexity"))
+    return out.withColumn("kept", (F.col("n_grams") > 1) & F.coalesce(measure <= F.col("threshold"), F.lit(True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

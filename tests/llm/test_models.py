@@ -229,3 +229,15 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(1000, 1300)} == {1000}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_long_text_is_held_to_the_quantile_itself(spark):
+    rows = perplexity.judge(read(spark, "documents")).collect()
+    own = defaultdict(list)
+    for r in rows:
+        if r["trusted"]:
+            own[r["lang"]].append(r["perplexity"])
+    assert own and all(r["threshold"] in own[r["lang"]] for r in rows if own[r["lang"]])
+    long = [r for r in rows if r["n_grams"] > perplexity.LEAST_CHARS]
+    assert all(r["kept"] == (r["perplexity"] <= r["threshold"]) for r in long)
+    assert any(r["threshold"] < r["perplexity"] <= 1.25 * r["threshold"] for r in long)
