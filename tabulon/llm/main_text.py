@@ -1,9 +1,9 @@
 """The main text of web pages, without what the site repeats.
 
-Each page is parsed once into blocks of text and the hashes of its container subtrees. Spark counts on
-how many different pages of a host each subtree occurs; subtrees that recur on many pages of their host
-are the site's template and are deleted. What names itself a menu, notice, advert and so on is left out
-in any case, and within a page that marks its article only the article is read.
+Each page is parsed once into blocks of text and the hashes of all its element subtrees, wherever they
+stand. Spark counts on how many different pages of a host each subtree occurs; subtrees that recur on many
+pages of their host are the site's template and are deleted. What names itself a menu, notice, advert and so
+on is left out in any case, and within a page that marks its article only the article is read.
 """
 
 from __future__ import annotations
@@ -50,8 +50,6 @@ NAMES = frozenset(
 )
 BESIDE = frozenset("comment comments replies respond disqus related recommended recommendations sidebar".split())
 MARKED = re.compile(r"^(?:content|main|article|post|entry|story)$|^(?:main|article|post|entry|story|page)[-_](?:content|body|text)$", re.I)
-CONTAINERS = frozenset("div section ul ol dl table aside figure fieldset blockquote header center".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li pre address".split())
 
 
 class Node:
@@ -154,8 +152,28 @@ def left_out(node: Node, inside: bool) -> bool:
     return False
 
 
-def blocks(source: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """The blocks of a page's main text, each with the hashes of the containers around it, and all those hashes."""
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def subtrees(root: Node) -> list[int]:
+    """The different hashes of all elements with text, inside and outside the content."""
+    seen: dict[int, None] = {}
+    todo = [root]
+    while todo:
+        for kid in todo.pop().kids:
+            if isinstance(kid, Node) and kid.words:
+                seen[signed(kid.hash)] = None
+                todo.append(kid)
+    return list(seen)
+
+
+def blocks(source: str | None) -> tuple[list[tuple[str, list[int], list[list[int]]]], list[int]]:
+    """The blocks of a page's main text and the hashes of all its subtrees.
+
+    With a block go the hashes of the block elements around it and, if all of its text stands in inline elements,
+    the hashes around each piece: the site's link or phrase in a sentence of the page's own leaves it whole.
+    """
     root = parse(source or "")
     has_article, marked = root.holds_article, False
     if not has_article:
@@ -165,15 +183,17 @@ def blocks(source: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
                 names = kid.named()
                 marked |= any(MARKED.match(t) for t in f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".split())
                 todo.append(kid)
-    out: list[tuple[str, list[int]]] = []
+    out: list[tuple[str, list[int], list[list[int]]]] = []
     now: list[str] = []
-    seen: dict[int, None] = {}
+    pieces: dict[tuple[int, ...], None] = {}
     path: list[int] = []
+    inline: list[int] = []
 
     def flush() -> None:
         if text := " ".join("".join(now).split()):
-            out.append((text, list(path)))
+            out.append((text, list(path), [] if () in pieces else [list(p) for p in pieces]))
         now.clear()
+        pieces.clear()
 
     # (node or text, inside the content, leaving)
     todo: list = [(root, not has_article and not marked, False)]
@@ -182,10 +202,15 @@ def blocks(source: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
         if isinstance(item, str):
             if inside:
                 now.append(item)
+                if item.strip():
+                    pieces[tuple(inline)] = None
+            continue
+        if leaving == "inline":
+            inline.pop()
             continue
         if leaving:
             flush()
-            if leaving == "template":
+            if leaving == "block":
                 path.pop()
             continue
         if item.tag == "br":
@@ -204,19 +229,17 @@ def blocks(source: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
                 names = item.named()
                 inside = any(MARKED.match(t) for t in f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".split())
         state: bool | str = item.tag in BLOCK
-        if inside and item.words and not item.holds_article and (item.tag in CONTAINERS or item.tag in PROSE and not has_article):
-            state = "template"
-            signed = item.hash - (1 << 64) if item.hash >> 63 else item.hash
-            path.append(signed)
-            seen[signed] = None
+        if inside and item.words and item.tag != "#root":
+            state = "block" if item.tag in BLOCK else "inline"
+            (path if state == "block" else inline).append(signed(item.hash))
         if state:
             todo.append((item, inside, state))
         todo.extend((kid, inside, False) for kid in reversed(item.kids))
     flush()
-    return out, list(seen)
+    return out, subtrees(root)
 
 
-PARSED = "page_id {id}, url string, host string, page bigint, blocks array<struct<text:string,within:array<bigint>>>, subtrees array<bigint>"
+PARSED = "page_id {id}, url string, host string, page bigint, blocks array<struct<text:string,within:array<bigint>,pieces:array<array<bigint>>>>, subtrees array<bigint>"
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -224,16 +247,16 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     src = pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
     kind = src.schema["page_id"].dataType.simpleString()
-    shape = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64()))]))
+    shape = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64())), ("pieces", pa.list_(pa.list_(pa.int64())))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 found = [blocks(h.as_py()) for h in part.column(3)]
-                page = [xxhash.xxh64_intdigest("\x00".join(t for t, _ in b)) >> 1 for b, _ in found]
+                page = [xxhash.xxh64_intdigest("\x00".join(t for t, *_ in b)) >> 1 for b, _ in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(page, pa.int64()), pa.array([[{"text": t, "within": w} for t, w in b] for b, _ in found], shape), pa.array([s for _, s in found], pa.list_(pa.int64()))],
+                    [part.column(0), part.column(1), part.column(2), pa.array(page, pa.int64()), pa.array([[{"text": t, "within": w, "pieces": i} for t, w, i in b] for b, _ in found], shape), pa.array([s for _, s in found], pa.list_(pa.int64()))],
                     names=["page_id", "url", "host", "page", "blocks", "subtrees"],
                 )
 
@@ -262,7 +285,8 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     parsed = written(parse_pages(pages), "pages")
     site = written(templates(parsed, least_pages, least_share), "site")
     joined = parsed.join(site, "host", "left")
-    kept = F.filter("blocks", lambda b: F.col("site").isNull() | ~F.arrays_overlap(b["within"], F.col("site")))
+    sites = lambda hashes: F.arrays_overlap(hashes, F.col("site"))
+    kept = F.filter("blocks", lambda b: F.col("site").isNull() | ~(sites(b["within"]) | ((F.size(b["pieces"]) > 0) & F.forall(b["pieces"], sites))))
     return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))
 
 

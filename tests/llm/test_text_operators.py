@@ -245,5 +245,14 @@ def test_site_templates_go_and_articles_stay(spark):
     assert {r["text"] for r in main_text.extract(spark.createDataFrame(same, "page_id long, url string, html string")).collect()} == {"The same words"}
 
 
+def test_site_templates_go_from_articles_too(spark):
+    notice, link = "<p>Read our <b>terms</b> first</p>", "<a href=/a>About us</a>"
+    rows = [(i, "http://h.org/a", f"<article><h1>T{i}</h1>{notice}<p>own {i} <b>terms</b></p><ul><li>Share this</ul><div>{link} {link}</div><address>Box 1</address></article>") for i in range(12)]
+    rows += [(100 + i, "http://h.org/b", f"<footer><p>Legal line</p></footer><article><p>more {i}</p></article>") for i in range(12)]
+    rows += [(200, "http://h.org/c", "<article><p>Legal line</p><p>last</p></article>"), (300, "http://k.org/a", f"<article>{notice}<p>k</p></article>")]
+    got = {r["page_id"]: r["text"] for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "T3 own 3 terms" and got[200] == "last" and got[300] == "Read our terms first k"
+
+
 def test_the_pattern_is_the_public_one(vocabulary):
     assert regex.findall(vocabulary[1], "it's 12 ok  ") == ["it", "'s", " 12", " ok", "  "]
