@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import table, written
 
-#: A subtree is the site's if it is on so many different pages of the host, and on so large a share of them.
+#: A subtree is the site's if it is on so many different pages of the host; above a hundred pages, where more recurs
+#: by chance, on half the square root of their number (16 of 1,000, 159 of 100,000).
 LEAST_PAGES = 5
-LEAST_SHARE = 0.1
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S
@@ -263,19 +263,19 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return src.mapInArrow(run, PARSED.format(id=kind))
 
 
-def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """host, site: the hashes of the subtrees that recur on a host. Copies of a page count once.
 
-    A host has few of them, since each is on at least ``least_share`` of its pages.
+    Their number grows at most as the square root of the host's pages.
     """
     different = parsed.groupBy("host", "page").agg(F.first("subtrees").alias("subtrees"))
     n = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     counts = different.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("on")).where(F.col("on") >= least_pages)
-    site = counts.join(n, "host").where(F.col("on") >= F.col("pages") * least_share)
+    site = counts.join(n, "host").where(F.col("on") >= F.sqrt("pages") / 2)
     return site.groupBy("host").agg(F.collect_list("subtree").alias("site"))
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url and text of every row.
 
     A null or empty page has an empty text. Pages without a host (null or odd url) form one host. Repeated
@@ -283,9 +283,10 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     templates are joined by size: broadcast below Spark's threshold, else by a join that splits hot hosts.
     """
     parsed = written(parse_pages(pages), "pages")
-    site = written(templates(parsed, least_pages, least_share), "site")
+    site = written(templates(parsed, least_pages), "site")
     joined = parsed.join(site, "host", "left")
     sites = lambda hashes: F.arrays_overlap(hashes, F.col("site"))
+    joined = joined.withColumn("site", F.array_intersect("subtrees", "site"))  # the page's own, once for all its blocks
     kept = F.filter("blocks", lambda b: F.col("site").isNull() | ~(sites(b["within"]) | ((F.size(b["pieces"]) > 0) & F.forall(b["pieces"], sites))))
     return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))
 

@@ -254,5 +254,12 @@ def test_site_templates_go_from_articles_too(spark):
     assert got[3] == "T3 own 3 terms" and got[200] == "last" and got[300] == "Read our terms first k"
 
 
+def test_a_box_on_a_small_part_of_a_large_host_goes(spark):
+    box = "<div><p>Section news</p></div>"
+    rows = [(i, "http://h.org/a", f"<article>{box if i % 20 == 0 else ''}<p>own {i}</p>{'<p>by chance</p>' if i < 6 else ''}</article>") for i in range(400)]
+    got = {r["page_id"]: r["text"] for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[20] == "own 20" and got[1] == "own 1 by chance"
+
+
 def test_the_pattern_is_the_public_one(vocabulary):
     assert regex.findall(vocabulary[1], "it's 12 ok  ") == ["it", "'s", " 12", " ok", "  "]
