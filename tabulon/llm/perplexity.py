@@ -1,6 +1,6 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of letters.
 
-The model is of order four over code points, trained on all trusted texts. Its counts, continuation
+The model is of order four over code points (later ones as two symbols each), trained on all trusted texts. Its counts, continuation
 counts and probabilities are tables keyed by n-gram, made and joined by Spark; they hold every n-gram of
 the corpus (those that trusted text lacks with count zero), so that each gets its interpolated
 probability by the same joins. Texts are read in blocks, the file splits of the input: a block asks for
@@ -10,10 +10,12 @@ one join. Documents are kept below a quantile of the trusted documents' perplexi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,10 @@ from tabulon.llm.common import table, written
 ORDER = 4
 BITS = 12
 END = 1
+#: Code points from here on are two symbols, of their upper bits and of their lower ten; no two texts share symbols.
+DIRECT = 1920
+UPPER = DIRECT + 2
+LOWER = UPPER + (0x110000 >> 10)
 #: The quantile of trusted documents' perplexity up to which a document is kept.
 QUANTILE = 0.99
 #: A text too short to be trusted says little: so many standard errors of its mean count in its favour.
@@ -34,10 +40,13 @@ COUNT_CHARS = 1 << 19
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """The symbols of a text, lower-cased, ended; code points from 2046 on share the upper half by remainder."""
+    """The symbols of a text, lower-cased, ended: one of a code point below DIRECT, else two."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     codes[(codes >= 9) & (codes <= 13)] = 32
-    return np.append(np.where(codes < 2046, codes + 2, 2048 + codes % 2048), END)
+    if codes.size and codes.max() >= DIRECT:
+        pairs = np.column_stack([np.where(codes < DIRECT, codes + 2, UPPER + (codes >> 10)), np.where(codes < DIRECT, -1, LOWER + (codes & 1023))]).ravel()
+        return np.append(pairs[pairs >= 0], END)
+    return np.append(codes + 2, END)
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -49,11 +58,24 @@ def grams(text: str | None) -> np.ndarray:
     return out
 
 
+#: Beyond these letters words may hold combining marks, or not be parted by spaces.
+SIMPLE = re.compile("[\u0000-\u08ff\u1e00-\u2bff]*")
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}"
+UNSPACED_LETTER = regex.compile(rf"[{UNSPACED}]")
+WORD = regex.compile(rf"[{UNSPACED}]\p{{M}}*+|(?:(?![{UNSPACED}])[\p{{L}}\p{{M}}\u200c\u200d])++")
+PLAIN = regex.compile(r"[\p{L}\p{M}\s\u200c\u200d]|(?<=[\p{L}\p{M}])\p{P}")
+
+
 def trusted(text: str | None) -> bool:
     """Long enough, nearly all letters and spaces, and words that vary: text to learn from."""
     text = text or ""
     if len(text) < LEAST_CHARS:
         return False
+    if not SIMPLE.fullmatch(text):
+        found = WORD.findall(text)
+        unspaced = sum(1 for w in found if UNSPACED_LETTER.match(w))
+        units = list(zip(found, found[1:])) if 2 * unspaced > len(found) else found  # single letters repeat, pairs vary
+        return len(PLAIN.findall(text)) >= 0.9 * len(text) and len(set(units)) >= 0.3 * min(len(units), 2000)
     words = text.split()
     plain = sum(map(len, filter(str.isalpha, (w.strip(".,;:!?\"'()") for w in words))))
     return plain + len(words) >= 0.9 * len(text) and len(set(words)) >= 0.3 * min(len(words), 2000)

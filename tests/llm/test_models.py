@@ -241,3 +241,16 @@ def test_a_long_text_is_held_to_the_quantile_itself(spark):
     long = [r for r in rows if r["n_grams"] > perplexity.LEAST_CHARS]
     assert all(r["kept"] == (r["perplexity"] <= r["threshold"]) for r in long)
     assert any(r["threshold"] < r["perplexity"] <= 1.25 * r["threshold"] for r in long)
+
+
+def test_no_two_code_points_share_symbols_and_scripts_without_spaces_are_trusted():
+    every = [chr(c) for c in [*range(14, 0x3100), *range(0x4E00, 0x5200), *range(0xAC00, 0xB000), 0xFFFD, 0x1F600, 0x10FFFF] if chr(c).lower() == chr(c)]
+    assert len({tuple(perplexity.symbols(c)) for c in every}) == len(every)
+    assert max(int(perplexity.symbols(c).max()) for c in every) < 1 << perplexity.BITS
+    rng = random.Random(1)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    hindi = [a + b for a in ("नमस्ते", "दुनिया", "हिन्दी", "भाषा", "किताब", "विद्यालय") for b in ("", "में", "से", "की", "को", "ने", "पर")]
+    assert perplexity.trusted("".join(f"{han(12)}，{han(9)}。" for _ in range(20)))
+    assert perplexity.trusted("".join(chr(0xE01 + rng.randrange(44)) for _ in range(300)))
+    assert perplexity.trusted(" ".join(rng.choice(hindi) for _ in range(90)))
+    assert not perplexity.trusted("天气" * 200) and not perplexity.trusted("天气 1234 # " * 60)
