@@ -209,6 +209,17 @@ def test_chosen_spans_add_to_base_ones_and_are_redacted(spark):
     assert texts[:150] == ["mail me at [EMAIL] today"] * 150 and texts[-2:] == [None, ""]
 
 
+def test_spans_that_miss_only_the_checked_trait_are_added_where_they_are_common(spark):
+    rng = random.Random(4)
+    number = lambda: f"{rng.randrange(10, 99)} ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    good = [f"mail user{i}@site{i % 7}.org or ring +{number()} at noon" for i in range(400)]
+    near = [f"mail user{i}(at)site{i % 7}.org or ring {number()} at noon" for i in range(400)]
+    other = [f"in {1900 + i % 90} some {i} of {i * 7} were 3.5 or 12-{i % 60}" for i in range(400)]
+    d = docs(spark, [*good, *near, *other])
+    texts = [r["text"] for r in pii.redact(d).collect()]
+    assert texts[400:800] == ["mail [EMAIL] or ring [PHONE] at noon"] * 400 and texts[800:] == other
+
+
 def test_trees_separate_and_calibrate():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 4))
