@@ -150,10 +150,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[s
 
 
 def accept(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised, with a score of ``least`` or more."""
+    """The rows of ``docs`` whose language is recognised, with a score of ``least`` or more, or as a mixture.
+
+    A mixture's score is its leading language's share, which says nothing of the fit.
+    """
     whole = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))  # the row's own names can't clash
     marked = identify(whole, train(docs), ("row",))
-    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    return marked.where((F.col("lang_pred") != "und") & ((F.col("score") >= least) | (F.size("lang_mix") > 1))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

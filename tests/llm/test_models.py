@@ -254,3 +254,12 @@ def test_no_two_code_points_share_symbols_and_scripts_without_spaces_are_trusted
     assert perplexity.trusted("".join(chr(0xE01 + rng.randrange(44)) for _ in range(300)))
     assert perplexity.trusted(" ".join(rng.choice(hindi) for _ in range(90)))
     assert not perplexity.trusted("天气" * 200) and not perplexity.trusted("天气 1234 # " * 60)
+
+
+def test_an_even_mixture_of_four_languages_is_accepted(spark):
+    words = {"en": "the weather with that other thing there ", "de": "der nicht schöne und über auch schließlich ", "fr": "où les garçons étaient très fatigués hier soir ", "es": "mañana el niño pequeño quería jugar allí "}
+    rows = [(4 * i + k, t * 6, lang) for i in range(1, 40) for k, (lang, t) in enumerate(words.items())]
+    d = spark.createDataFrame([*rows, (500, "".join(t * 10 for t in words.values()), "en"), (501, "12 34", "en")], "doc_id long, text string, lang string")
+    found = language_id.identify(d, language_id.train(d)).where("doc_id = 500").first()
+    assert len(found["lang_mix"]) == 4 and found["score"] < 0.3
+    assert [r["doc_id"] for r in language_id.accept(d).where("doc_id >= 500").collect()] == [500]
