@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,27 +16,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset, one of our own.
+
+    On a local master that is a temporary folder. On a cluster it is a folder of the warehouse, as no machine's own will do.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tabulon-')}"
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        found = f"file://{tempfile.mkdtemp(prefix='tabulon-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _path(spark: SparkSession, path: str):
+    """A path of the shared folder and its file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, files = _path(spark, path)
+    files.delete(where, True)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a path when the driver's JVM ends."""
+    where, files = _path(spark, path)
+    files.deleteOnExit(where)
+
+
+#: The tables written since each open ``scratch`` began.
+_open: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Remove, at its end, the tables that ``written`` made within: nothing may read them any more."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            remove(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back.
 
     The rows survive a lost executor, are computed once, and the table's size on disk is known to
     the planner, so that it broadcasts the table only below spark.sql.autoBroadcastJoinThreshold.
-    The files go when the driver's JVM ends.
+    The files go at the end of the ``scratch`` they were made in, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tabulon/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    remove_at_exit(spark, path)
+    if _open:
+        _open[-1].append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -44,9 +82,7 @@ def discard(df: DataFrame) -> None:
     """Remove a table made by ``written`` that nothing will read again."""
     path = getattr(df, "_scratch", None)
     if path:
-        spark = df.sparkSession
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        remove(df.sparkSession, path)
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:

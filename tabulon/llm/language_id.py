@@ -29,14 +29,14 @@ ROUNDS = 40
 
 @lru_cache(1)
 def letters() -> np.ndarray:
-    """Whether each code point of the basic plane is a letter; those above count as letters."""
-    return np.array([chr(i).isalpha() for i in range(0x10000)] + [True])
+    """Whether each code point, of every plane, is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
 
 def trigrams(text: str | None) -> np.ndarray:
     """Hashes of the trigrams of a text's letters, lower-cased, all else as one space; none without a letter."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    alpha = letters()[np.minimum(codes, 0x10000)]
+    alpha = letters()[codes]
     if not alpha.any():
         return np.zeros(0, np.int64)
     codes = np.concatenate([[32], np.where(alpha, codes, 32), [32]]).astype(np.uint32)

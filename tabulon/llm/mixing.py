@@ -47,9 +47,10 @@ def leaf_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     return named.select("doc_id", domain.alias("domain"), "lang", "source", "n_tokens")
 
 
-def order_key(epoch: Column | str, seed: str = SEED) -> Column:
+def order_key(epoch: Column | str, seed: str = SEED, doc_id: Column | str = "doc_id") -> Column:
     """The place of a document in an epoch's order."""
-    return F.md5(F.concat_ws(":", F.lit(seed), F.col(epoch) if isinstance(epoch, str) else epoch, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.md5(F.concat_ws(":", F.lit(seed), col(epoch), F.coalesce(col(doc_id).cast("string"), F.lit(""))).cast("binary"))
 
 
 def _fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
@@ -144,13 +145,20 @@ def mix(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EP
 
 
 def sample(docs: DataFrame, percent: int = BUDGET_PERCENT, seed: str = SEED) -> DataFrame:
-    """The rows of ``docs`` that one epoch at most supplies, each once, with the columns of ``docs``."""
+    """The rows of ``docs`` that one epoch at most supplies, each once, with the columns of ``docs``.
+
+    Rows of one doc_id and leaf share a key and are taken or left together. A null text has no tokens, a null doc_id
+    the key of an empty id, and a null source or language the empty name. Columns of ``docs`` may have any names
+    besides. Empty in, empty out.
+    """
     rows = written(leaf_rows(docs), "leaf_rows")
-    leaves = written(plan(rows, percent, 1, seed), "plan").select(*(F.col(c).alias(f"_{c}") for c in (*LEVELS, "epochs", "cut")))
-    domain = F.concat(F.lit("d"), (F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 4).cast("string"))
-    same = (domain == F.col("_domain")) & (F.coalesce("lang", F.lit("")) == F.col("_lang")) & (F.coalesce("source", F.lit("")) == F.col("_source"))
-    taken = (F.col("_epochs") > 0) | (order_key("_epochs", seed) <= F.col("_cut"))
-    return docs.join(leaves, same & F.coalesce(taken, F.lit(False)), "left_semi")
+    leaves = written(plan(rows, percent, 1, seed), "plan").select(*LEVELS, "epochs", "cut")
+    whole = docs.select(F.struct("*").alias("row"))  # the row's own names can't clash
+    row = F.col("row")
+    domain = F.concat(F.lit("d"), (F.crc32(F.coalesce(row["source"], F.lit("")).cast("binary")) % 4).cast("string"))
+    same = (domain == F.col("domain")) & (F.coalesce(row["lang"], F.lit("")) == F.col("lang")) & (F.coalesce(row["source"], F.lit("")) == F.col("source"))
+    taken = (F.col("epochs") > 0) | (order_key("epochs", seed, row["doc_id"]) <= F.col("cut"))
+    return whole.join(leaves, same & F.coalesce(taken, F.lit(False)), "left_semi").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

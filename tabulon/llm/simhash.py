@@ -50,16 +50,17 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp bigint) of every row; the bits of fp are those of the unsigned fingerprint."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, fp bigint) of every row, and the column ``row`` if asked for; the bits of fp are those of the unsigned fingerprint."""
+    names = ["doc_id", "fp"] if row is None else ["doc_id", "fp", "row"]
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"), *([] if row is None else [F.col(row).cast("bigint").alias("row")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=names)
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint{', row bigint' if row else ''}")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -175,31 +176,45 @@ def links(distinct: DataFrame, most: int = 4096) -> DataFrame:
     return edges.unionByName(rest)
 
 
-def groups(docs: DataFrame, words: int = 3, seed: int = 42, most: int = 4096, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (the least doc_id that links reach, its own included).
+def groups(docs: DataFrame, words: int = 3, seed: int = 42, most: int = 4096, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp, component_id (the least doc_id that links reach, its own included), and ``row``.
 
     A null text has fingerprint zero, as a text without words has, and links like any other. Repeated
     rows share a fingerprint and so a component; rows with a null doc_id take part but never name a
     component, which is null only if no member has an id. Other columns are not read. Empty in, empty out.
     """
-    prints = written(fingerprints(docs, words, seed, id_col, text), "prints")
+    prints = written(fingerprints(docs, words, seed, id_col, text, row), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     member = written(components(links(distinct, most)).withColumnRenamed("node", "fp"), "members")
     named = member.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = member.join(named, "root").select("fp", "component_id")
     label = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(label, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(label, "fp", "left").select("doc_id", "fp", "component_id", *(["row"] if row else []))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document of least doc_id, once.
 
-    A row without doc_id can't be judged and stays. A doc_id that repeats is one document.
+    A row without doc_id can't be judged and stays. Rows that share an id are held by their texts: in one component
+    one of them stays, that of the least hash over its columns; in two components one stays in each. Null, empty and
+    wordless texts have one fingerprint and are one component. Columns may have any names besides doc_id and text.
+    Empty in, empty out.
+
+    The rows that go are named by (doc_id, hash) and joined out: broadcast while they are below Spark's threshold, so
+    that texts aren't shuffled, else by a sorted join. Only rows that repeat another in every column are grouped whole.
     """
-    found = groups(docs, **options)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    plain = [F.to_json(f"`{c}`") if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    whole = docs.select(F.struct("*").alias("all"), F.col("doc_id"), F.xxhash64(*plain).alias("hash"))
+    found = groups(whole.select("doc_id", F.col("all.text").alias("text"), "hash"), row="hash", **options).where("doc_id is not null")
+    each = written(found.groupBy("doc_id", F.col("row").alias("hash"), "component_id").agg(F.count("*").alias("n")), "judged")
+    heads = each.where("doc_id = component_id").groupBy("doc_id").agg(F.min("hash").alias("head"))
+    gone = written(each.join(heads, "doc_id", "left").where("head is null or hash <> head").select("doc_id", "hash"), "gone")
+    again = written(each.join(heads, "doc_id").where("hash = head and n > 1").select("doc_id", "hash"), "again")
+    stay = whole.join(gone, ["doc_id", "hash"], "left_anti")
+    if not again.isEmpty():
+        once = stay.join(again, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
+        stay = stay.join(again, ["doc_id", "hash"], "left_anti").unionByName(once)
+    return stay.select("all.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,6 @@ from tabulon.llm.common import hash_below, held_out, share_of, table
 
 #: About so many labelled training rows are read to fit lexicon and regression.
 SAMPLE_ROWS = 16_000
-MOST_TERMS = 1500
 STEM_LENGTHS = (4, 5, 6)
 FUZZY_LEAST = 5
 WINDOW = 8
@@ -191,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
         found = rows.mapInArrow(_terms, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         ratio = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("other") + 0.5) / (n[0] + 1))
         found = found.where(F.col("toxic") >= least).withColumn("weight", ratio).where("weight > 3")
-        found = found.orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).select("term", "weight", "toxic").collect()
+        found = found.select("term", "weight").collect()  # terms of the sample's texts, bounded as they are
         stems = {r[0][:-1]: r[1] for r in found if r[0].endswith("*")}
         model = Model({r[0]: r[1] for r in found if not r[0].endswith("*")}, stems)
         marked = rows.mapInArrow(_measured(docs, model, ["label"]), f"label int, {', '.join(f'{f} double' for f in FEATURES)}").toPandas()
@@ -204,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
 
 
 def _measured(docs: DataFrame, model: Model, keep: list[str]):
-    shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.stems))  # MOST_TERMS at most
+    shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.stems))  # bounded by the labelled sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(*shared.value)

@@ -274,3 +274,12 @@ def test_a_box_on_a_small_part_of_a_large_host_goes(spark):
 
 def test_the_pattern_is_the_public_one(vocabulary):
     assert regex.findall(vocabulary[1], "it's 12 ok  ") == ["it", "'s", " 12", " ok", "  "]
+
+
+def test_deduplicate_tells_texts_of_one_id_apart(spark):
+    rows = [(1, "one two three four five", 1), (1, "one two three four five", 1), (1, "one two three four five", 2), (1, "quite another text with other words", 1), (2, None, 1), (3, "", 1), (4, "one two three four five", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, component_id int").withColumns({"hash": F.lit("clash"), "all": F.create_map(F.lit("k"), F.lit(1))})
+    kept = simhash.deduplicate(d)
+    assert kept.columns == d.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(1, "one two three four five"), (1, "quite another text with other words"), (2, "")]
+    assert simhash.deduplicate(d.limit(0)).count() == 0
