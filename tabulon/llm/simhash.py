@@ -177,7 +177,9 @@ def links(distinct: DataFrame, most: int = 4096) -> DataFrame:
 
 
 def groups(docs: DataFrame, words: int = 3, seed: int = 42, most: int = 4096, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (the least doc_id that links reach, its own included), and ``row``.
+    """One row per row of ``docs``: doc_id, fp, component_id (the least doc_id that links reach, its own included).
+
+    With ``row``, a column of integers, come that column and root, the component's least fingerprint.
 
     A null text has fingerprint zero, as a text without words has, and links like any other. Repeated
     rows share a fingerprint and so a component; rows with a null doc_id take part but never name a
@@ -187,9 +189,9 @@ def groups(docs: DataFrame, words: int = 3, seed: int = 42, most: int = 4096, id
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     member = written(components(links(distinct, most)).withColumnRenamed("node", "fp"), "members")
     named = member.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = member.join(named, "root").select("fp", "component_id")
-    label = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(label, "fp", "left").select("doc_id", "fp", "component_id", *(["row"] if row else []))
+    linked = member.join(named, "root").select("fp", "root", "component_id")
+    label = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
+    return prints.join(label, "fp", "left").select("doc_id", "fp", "component_id", *(["root", "row"] if row else []))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
@@ -206,10 +208,11 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     plain = [F.to_json(f"`{c}`") if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
     whole = docs.select(F.struct("*").alias("all"), F.col("doc_id"), F.xxhash64(*plain).alias("hash"))
     found = groups(whole.select("doc_id", F.col("all.text").alias("text"), "hash"), row="hash", **options).where("doc_id is not null")
-    each = written(found.groupBy("doc_id", F.col("row").alias("hash"), "component_id").agg(F.count("*").alias("n")), "judged")
-    heads = each.where("doc_id = component_id").groupBy("doc_id").agg(F.min("hash").alias("head"))
-    gone = written(each.join(heads, "doc_id", "left").where("head is null or hash <> head").select("doc_id", "hash"), "gone")
-    again = written(each.join(heads, "doc_id").where("hash = head and n > 1").select("doc_id", "hash"), "again")
+    each = found.groupBy("doc_id", "root", F.col("row").alias("hash")).agg(F.count("*").alias("n"), F.first("component_id").alias("least"))
+    each = written(each, "judged")
+    heads = each.where("doc_id = least").groupBy("doc_id", "root").agg(F.min("hash").alias("head"))
+    gone = written(each.join(heads, ["doc_id", "root"], "left").where("head is null or hash <> head").select("doc_id", "hash"), "gone")
+    again = written(each.join(heads, ["doc_id", "root"]).where("hash = head and n > 1").select("doc_id", "hash"), "again")
     stay = whole.join(gone, ["doc_id", "hash"], "left_anti")
     if not again.isEmpty():
         once = stay.join(again, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
