@@ -2,13 +2,15 @@
 
 Inner products become distances by one more component (every vector gets the same length). Each of
 several tables cuts a few Gaussian projections into cells of one width; a combination of cells is a
-bucket. For a query, the chance that a near vector lies in a bucket follows from the projections, and
-buckets are visited in order of that estimated success for each row they hold, until a share of the
-success is covered. Candidates of all tables are merged and ranked by the exact inner product.
+bucket, and there are more projections, so more buckets, the more rows there are. For a query, the chance
+that a near vector lies in a bucket is the product of chances of its cells; buckets are visited in order of
+that estimated success, perturbed ones after the query's own, until a share of it is covered. Candidates of
+all tables are merged and ranked by the exact inner product. A query that finds too few rows meets all.
 
 Equal vectors are one row of the index with their least ids, as many as an answer can need, so that a
-very common vector costs no more than a rare one. Large buckets and large query sets are cut into tiles,
-and a tile sends only its best rows of each query.
+very common vector costs no more than a rare one. Rows of a large bucket, and the queries that visit a
+bucket, are cut into tiles; a row is copied only for the query tiles of its own bucket, and a pair of tiles
+sends only its best rows of each query.
 """
 
 from __future__ import annotations
@@ -25,14 +27,18 @@ from tabulon.llm.common import hash_below, share_of, table, written
 
 NEAREST = 20
 TABLES = 6
-PROJECTIONS = 5
 WIDTH = 2.6
-COVER = 0.40
+COVER = 0.45
 #: Buckets that cover so much are visited first; what they hold bounds what the others have to send.
 FIRST = 0.12
-#: Rows of the sample that the expected nearness and each query's bound are taken from, and rows of a tile's side.
-SAMPLE = 4000
-TILE = 4096
+#: Rows that a bucket should hold, on average, and how many buckets one projection makes of one.
+BUCKET_ROWS = 1000
+SPLIT = 2.2
+#: Cells of a projection; the outer ones are open. Three bits each.
+CELLS = 8
+#: Rows that the expected nearness is estimated from (nothing else), and rows of a tile's side.
+SAMPLE = 2000
+TILE = 2048
 SEED = 11
 
 
@@ -53,7 +59,7 @@ class Hashes:
     near: float = 0.4
 
     @classmethod
-    def drawn(cls, size: int, longest: float, tables: int = TABLES, k: int = PROJECTIONS) -> Hashes:
+    def drawn(cls, size: int, longest: float, k: int, tables: int = TABLES) -> Hashes:
         rng = np.random.default_rng(SEED)
         return cls(rng.normal(size=(tables, size + 1, k)), rng.uniform(0, WIDTH, (tables, k)), longest)
 
@@ -63,26 +69,54 @@ class Hashes:
 
     def buckets(self, x: np.ndarray, t: int) -> np.ndarray:
         """The cells of each row in a table, packed into one number."""
-        cells = np.floor((self.lifted(x) @ self.a[t] + self.b[t]) / WIDTH).astype(np.int64) + 128
-        return (np.clip(cells, 0, 255) << (8 * np.arange(cells.shape[1]))).sum(1)
+        cells = np.floor((self.lifted(x) @ self.a[t] + self.b[t]) / WIDTH).astype(np.int64) + CELLS // 2
+        return (np.clip(cells, 0, CELLS - 1) << (3 * np.arange(cells.shape[1]))).sum(1)
 
-    def visits(self, q: np.ndarray, t: int, bucket: np.ndarray, rows: np.ndarray, cover: float = COVER) -> Iterator[tuple[np.ndarray, int]]:
-        """For each query, the places in ``bucket`` that it visits, best first, and how many of them come first."""
+    def chances(self, q: np.ndarray, t: int) -> np.ndarray:
+        """Queries x projections x cells: the chance that a near vector's projection lies in the cell."""
         unit = q / np.sqrt((q * q).sum(1, keepdims=True))
         at = np.column_stack([unit, np.zeros(len(q))]) @ self.a[t]
-        cells = (bucket[:, None] >> (8 * np.arange(at.shape[1])) & 255) - 128
         spread = np.sqrt(max(1e-6, 1 - self.near**2))
-        log_p = np.zeros((len(q), len(bucket)))
-        for j in range(at.shape[1]):
-            low = cells[:, j] * WIDTH - self.b[t][j]
-            mid = self.near * at[:, j][:, None]
-            log_p += np.log(np.maximum(normal((low + WIDTH - mid) / spread) - normal((low - mid) / spread), 1e-12))
-        p = np.exp(log_p)
-        order = np.argsort(-p / rows, 1, kind="stable")
-        covered = np.cumsum(np.take_along_axis(p, order, 1), 1)
-        upto = lambda share: (covered < share * np.minimum(1, covered[:, -1:])).sum(1) + 1
-        for i, (n, first) in enumerate(zip(upto(cover), upto(min(FIRST, cover)))):
-            yield order[i, :n], first
+        edge = (np.arange(1, CELLS) - CELLS // 2) * WIDTH
+        below = normal((edge - self.b[t][:, None] - self.near * at[:, :, None]) / spread)
+        ends = np.ones((*below.shape[:2], 1))
+        return np.maximum(np.diff(np.concatenate([0 * ends, below, ends], 2), axis=2), 1e-12)
+
+    def visits(self, q: np.ndarray, t: int, cover: float = COVER) -> list[tuple[np.ndarray, int]]:
+        """For each query, the buckets that it visits, best first, and how many of them come first.
+
+        The best m combinations begin with some of the best m combinations of fewer projections, so that m are
+        carried from projection to projection; m grows until the share is covered, or there are no more.
+        """
+        p, out = self.chances(q, t), [(np.zeros(0, np.int64), 0)] * len(q)
+        left, m = np.arange(len(q)), 64
+        while len(left):
+            open_ = []
+            for i in range(0, len(left), max(1, (1 << 20) // (m * CELLS))):
+                rows = left[i : i + max(1, (1 << 20) // (m * CELLS))]
+                best, code = np.ones((len(rows), 1)), np.zeros((len(rows), 1), np.int64)
+                for j in range(p.shape[1]):
+                    best = (best[:, :, None] * p[rows, j][:, None, :]).reshape(len(rows), -1)
+                    code = (code[:, :, None] | (np.arange(CELLS, dtype=np.int64) << (3 * j))).reshape(len(rows), -1)
+                    if best.shape[1] > m:
+                        top = np.argpartition(-best, m - 1, 1)[:, :m]
+                        best, code = np.take_along_axis(best, top, 1), np.take_along_axis(code, top, 1)
+                order = np.argsort(-best, 1, kind="stable")
+                covered = np.cumsum(np.take_along_axis(best, order, 1), 1)
+                code = np.take_along_axis(code, order, 1)
+                for r, row in enumerate(rows):
+                    if covered[r, -1] < cover and code.shape[1] == m:
+                        open_.append(row)
+                    else:
+                        n = int((covered[r] < cover).sum()) + 1
+                        out[row] = code[r, :n], int((covered[r] < min(FIRST, cover)).sum()) + 1
+            left, m = np.array(open_, np.int64), 4 * m
+        return out
+
+
+def projections(n: int) -> int:
+    """How many projections give buckets of about BUCKET_ROWS of n rows."""
+    return int(np.clip(np.round(np.log(max(n, 1) / BUCKET_ROWS) / np.log(SPLIT)), 2, 20))
 
 
 def vectors(keys: list[bytes] | pa.Array) -> np.ndarray:
@@ -141,7 +175,8 @@ def search(rows: DataFrame, query_ids, nearest: int = NEAREST, cover: float = CO
     ``rows`` has vec_id and embedding (an array of numbers); ``query_ids`` is a condition on vec_id. Ties
     go to the smaller vec_id. Vectors that are null, zero, or hold a null or a non-finite component take
     no part, neither do those of another length than most. Rows that repeat id and vector count once.
-    Null ids take no part. Without queries or candidates there are no rows.
+    Null ids take no part. Without queries or candidates there are no rows. A query whose buckets hold
+    fewer than ``nearest`` other rows is compared with all.
     """
     spark = rows.sparkSession
     shape = "query_id bigint, rank int, vec_id bigint, score double"
@@ -151,15 +186,14 @@ def search(rows: DataFrame, query_ids, nearest: int = NEAREST, cover: float = CO
         return spark.createDataFrame([], shape)
     index = index.where(F.octet_length("key") == sizes[0])
     size, n = sizes[0] // 8, sizes[1]
-    asked = written(rows.where(query_ids).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v")), "asked")
+    asked = rows.where(query_ids).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
     asked = asked.where("query_id is not null and size(v) = %d and not exists(v, e -> e is null or isnan(e) or abs(e) = double('infinity')) and exists(v, e -> e <> 0)" % size).distinct()
     longest = index.mapInArrow(_longest, "longest double").agg(F.max("longest")).first()[0]
-    hashes = Hashes.drawn(size, longest)
-    sample = index.where(hash_below(share_of(n, SAMPLE), "key", seed=3)).collect()
+    hashes = Hashes.drawn(size, longest, projections(n))
+    sample = index.where(hash_below(share_of(n, SAMPLE), "key", seed=3)).select("key").collect()
     if sample:
         hashes.near = _nearness(vectors([bytes(r[0]) for r in sample]), n, nearest, longest)
-    sampled = spark.sparkContext.broadcast(([bytes(r[0]) for r in sample], [list(r[1]) for r in sample]))  # about SAMPLE rows
-    shared = spark.sparkContext.broadcast(hashes)
+    shared = spark.sparkContext.broadcast(hashes)  # tables x components x projections
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,49 +202,18 @@ def search(rows: DataFrame, query_ids, nearest: int = NEAREST, cover: float = CO
                 at = shared.value.buckets(x, t) if len(x) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(at), batch.column(0), batch.column(1)], names=["t", "bucket", "key", "ids"])
 
-    placed = written(index.mapInArrow(place, "t int, bucket bigint, key binary, ids array<bigint>"), "placed")
-    # a table's buckets are bounded by its cells, some hundreds here, whatever the number of rows
-    directory = placed.groupBy("t", "bucket").count().orderBy("t", "bucket").collect()
-    tables = {t: (np.array([r[1] for r in directory if r[0] == t], np.int64), np.array([r[2] for r in directory if r[0] == t], np.int64)) for t in range(len(hashes.a))}
-    known = spark.sparkContext.broadcast(tables)
-    groups = max(1, -(-asked.count() // TILE))
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, ids = vectors(sampled.value[0]), sampled.value[1]
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            q = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(own), -1)
-            if not len(own):
-                continue
-            found = best(q, np.full(len(own), -np.inf), x, ids, own, nearest) if len(x) else ([], [], [])
-            by: dict[int, list[tuple[int, float]]] = {int(i): [] for i in own}
-            for i, v, s in zip(*found):
-                by[i].append((v, s))
-            low = [by[int(i)][nearest - 1][1] if len(by[int(i)]) >= nearest else float("-inf") for i in own]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(low, pa.float64()), pa.array([[{"vec_id": v, "score": s} for v, s in by[int(i)]] for i in own], pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))],
-                names=["query_id", "q", "bound", "seen"],
-            )
-
-    ready = written(asked.mapInArrow(bounded, "query_id bigint, q binary, bound double, seen array<struct<vec_id:bigint,score:double>>"), "queries")
-
-    def probe(batches: Iterator[pa.RecordBatch], later: bool) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("t", pa.int32()), ("bucket", pa.int64())]))
         for batch in batches:
-            q, own, low = vectors(batch.column(1)), batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for t, (bucket, rows_in) in known.value.items():
-                for i in range(0, len(q), 256):
-                    seen = [v[first:] if later else v[:first] for v, first in shared.value.visits(q[i : i + 256], t, bucket, rows_in, cover)]
-                    who = np.repeat(np.arange(len(seen)), list(map(len, seen))) + i
-                    at = np.concatenate(seen)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), t, np.int32)), pa.array(bucket[at]), pa.array(-(-rows_in[at] // TILE)), pa.array(own[who]), batch.column(1).take(pa.array(who)), pa.array(low[who])],
-                        names=["t", "bucket", "slices", "query_id", "q", "bound"],
-                    )
-
-    slices = F.create_map(*[x for t, b, c in directory if c > TILE for x in (F.lit(f"{t}:{b}"), F.lit(-(-c // TILE)).cast("bigint"))]) if any(r[2] > TILE for r in directory) else None
-    many = F.coalesce(F.try_element_at(slices, F.concat_ws(":", "t", "bucket")), F.lit(1).cast("bigint")) if slices is not None else F.lit(1).cast("bigint")
-    tiles = placed.withColumn("slice", F.pmod(F.xxhash64("key"), many)).withColumn("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
-    by = ["t", "bucket", "slice", "g"]
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                q = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                first, rest = [[] for _ in q], [[] for _ in q]
+                for t in range(len(shared.value.a)):
+                    for r, (buckets, k) in enumerate(shared.value.visits(q, t, cover)):
+                        first[r] += [(t, b) for b in buckets[:k].tolist()]
+                        rest[r] += [(t, b) for b in buckets[k:].tolist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(first, kind), pa.array(rest, kind)], names=["query_id", "q", "first", "rest"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
@@ -219,24 +222,38 @@ def search(rows: DataFrame, query_ids, nearest: int = NEAREST, cover: float = CO
             found = best(vectors(left.column("q")), left.column("bound").to_numpy(), vectors(right.column("key")), right.column("ids").to_pylist(), left.column("query_id").to_numpy(), nearest)
         return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(found, kinds)], names=names)
 
-    def round_of(queries: DataFrame, later: bool) -> DataFrame:
-        probes = queries.select("query_id", "q", "bound").mapInArrow(lambda batches: probe(batches, later), "t int, bucket bigint, slices bigint, query_id bigint, q binary, bound double")
-        probes = probes.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))).withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-        met = probes.select(*by, "query_id", "q", "bound").groupBy(*by).cogroup(tiles.select(*by, "key", "ids").groupBy(*by)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-        return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-
+    placed = written(index.mapInArrow(place, "t int, bucket bigint, key binary, ids array<bigint>"), "placed")
+    ready = written(asked.mapInArrow(probe, "query_id bigint, q binary, first array<struct<t:int,bucket:bigint>>, rest array<struct<t:int,bucket:bigint>>"), "queries")
+    held = written(placed.groupBy("t", "bucket").agg(F.count("*").alias("rows")), "buckets")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    by, tiles = ["t", "bucket", "slice", "g"], lambda c: F.ceil(F.col(c) / TILE)
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+
+    def visit(probes: DataFrame) -> DataFrame:
+        """query_id, vec_id, score of the best rows of each pair of tiles; probes: query_id, q, bound, t, bucket."""
+        asks = probes.groupBy("t", "bucket").agg(F.count("*").alias("asks"))
+        plan = written(held.join(asks, ["t", "bucket"]).select("t", "bucket", tiles("rows").alias("slices"), tiles("asks").alias("groups")), "plan")
+        left = probes.join(plan, ["t", "bucket"]).withColumn("g", F.pmod(F.xxhash64("query_id"), "groups")).withColumn("slice", upto("slices"))
+        right = placed.join(plan, ["t", "bucket"]).withColumn("slice", F.pmod(F.xxhash64("key"), "slices")).withColumn("g", upto("groups"))
+        met = left.select(*by, "query_id", "q", "bound").groupBy(*by).cogroup(right.select(*by, "key", "ids").groupBy(*by)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+        return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
     def leading(found: DataFrame) -> DataFrame:
         each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
-    seen = ready.select("query_id", F.explode("seen").alias("s")).select("query_id", "s.vec_id", "s.score")
-    first = written(leading(round_of(ready, False).unionByName(seen)), "first")
-    low = first.where(F.col("rank") == nearest).select("query_id", F.col("score").alias("low"))
-    bounded_now = ready.drop("seen").join(low, "query_id", "left").select("query_id", "q", F.coalesce("low", "bound").alias("bound"))
-    rest = round_of(bounded_now, True)
-    return leading(first.drop("rank").unionByName(rest))
+    listed = lambda queries, name: queries.select("query_id", "q", "bound", F.explode(name).alias("at")).select("query_id", "q", "bound", "at.t", "at.bucket")
+    free = F.lit(float("-inf")).alias("bound")
+    one = written(leading(visit(listed(ready.select("query_id", "q", free, "first"), "first"))), "first")
+    low = one.where(F.col("rank") == nearest).select("query_id", F.col("score").alias("low"))
+    bounded = ready.join(low, "query_id", "left").select("query_id", "q", F.coalesce("low", F.lit(float("-inf"))).alias("bound"), "rest")
+    two = written(leading(one.drop("rank").unionByName(visit(listed(bounded, "rest")))), "second")
+    full = two.where(F.col("rank") == nearest).select("query_id")
+    short = written(ready.join(full, "query_id", "left_anti").select("query_id", "q", free, F.lit(0).alias("t")), "short")
+    if short.isEmpty():
+        return two
+    every = visit(short.join(held.where("t = 0").select("t", "bucket"), "t"))  # a table's buckets hold every row once
+    return leading(two.drop("rank").unionByName(every))
 
 
 def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,19 +158,20 @@ def test_probabilities_sum_to_one(spark):
 
 def test_nearest_have_the_recall_and_the_exact_scores(spark):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(4000, 24))
+    x = rng.normal(size=(9000, 24))  # four times the rows that nearness is estimated from
     x[100:400] = x[100]
+    assert len(x) - 300 > 4 * neighbours.SAMPLE
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
     rows += [(5000, None, 1), (5020, [0.0] * 24, 1), (5040, [float("nan")] + [1.0] * 23, 1), (5060, [None] + [1.0] * 23, 1), (None, x[0].tolist(), 1), (40, x[40].tolist(), 1), (5080, [1.0], 1)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = defaultdict(list)
     for r in neighbours.search(d, F.col("vec_id") % 20 == 0).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    assert set(got) == set(range(0, 4000, 20))
+    assert set(got) == set(range(0, 9000, 20))
     recall = []
     for q, found in got.items():
         s = (x * x[q]).sum(1)
-        best = sorted((i for i in range(4000) if i != q), key=lambda i: (-s[i], i))[:20]
+        best = sorted((i for i in range(9000) if i != q), key=lambda i: (-s[i], i))[:20]
         found.sort()
         assert [r for r, _, _ in found] == list(range(1, 21)) and max(abs(s[v] - y) for _, v, y in found) < 1e-9
         recall.append(len({v for _, v, _ in found} & set(best)) / 20)
@@ -180,6 +181,26 @@ def test_nearest_have_the_recall_and_the_exact_scores(spark):
     assert neighbours.search(d.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_a_query_with_few_rows_in_its_buckets_meets_all(spark):
+    x = np.random.default_rng(3).normal(size=(9, 8))
+    d = spark.createDataFrame([(20 * i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in neighbours.search(d, F.col("vec_id") >= 0).collect()}
+    for q in range(9):
+        assert [got[20 * q, k] for k in range(1, 9)] == [20 * i for i in sorted((i for i in range(9) if i != q), key=lambda i: -(x[q] @ x[i]))]
+
+
+def test_buckets_are_visited_in_order_of_their_chance():
+    h = neighbours.Hashes.drawn(6, 1.0, 3, 1)
+    q = np.random.default_rng(4).normal(size=(5, 6))
+    p = h.chances(q, 0)
+    assert np.allclose(p.sum(2), 1)
+    for r, (buckets, first) in enumerate(h.visits(q, 0, 0.97)):
+        every = {a | b << 3 | c << 6: p[r, 0, a] * p[r, 1, b] * p[r, 2, c] for a in range(8) for b in range(8) for c in range(8)}
+        order = sorted(every.values(), reverse=True)
+        got = [every[b] for b in buckets.tolist()]
+        assert np.allclose(got, order[: len(got)]) and sum(got[:-1]) < 0.97 <= sum(got) and sum(got[: first - 1]) < neighbours.FIRST <= sum(got[:first])
+
+
 def plain_fill(budget, nodes):
     """Shares of (name, weight, cap) by repeated filling."""
     got, open_ = {}, sorted(nodes, key=lambda n: (n[2] / n[1], n[0]))
