@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import table, written
+from tabulon.llm.common import let, table, written
 
 #: A subtree is the site's if it is on so many different pages of the host; above a hundred pages, where more recurs
 #: by chance, on half the square root of their number (16 of 1,000, 159 of 100,000).
@@ -48,6 +48,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar widget widgets cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments disqus respond replies pagination pager toolbar skip".split()
 )
+#: Parts that a class may hold besides such a name and still mean the same (ad-slot, site-footer), unlike share-of-market.
+BESIDES = frozenset(
+    "area article bar block blog body box button buttons column container content entry form global group icon icons inner inside item items left link links list main module outer page panel post posts primary region right row secondary section site slot small space story top bottom unit wide wrap wrapper zone".split()
+)
 BESIDE = frozenset("comment comments replies respond disqus related recommended recommendations sidebar".split())
 MARKED = re.compile(r"^(?:content|main|article|post|entry|story)$|^(?:main|article|post|entry|story|page)[-_](?:content|body|text)$", re.I)
 
@@ -79,18 +83,22 @@ def parse(source: str) -> Node:
     """A tree from HTML of any quality; end tags may be missing."""
     root = Node("#root", "")
     stack = [root]
+    depths: dict[str, list[int]] = {}  # of the open elements of each tag, so that none is sought through the stack
 
     def end(depth: int) -> None:
         while len(stack) > depth:
-            stack.pop().close()
+            node = stack.pop()
+            node.close()
+            if node is not root:
+                depths[node.tag].pop()
+
+    def last(tags: frozenset) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
 
     def find(tags: frozenset, stops: frozenset) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in stops:
-                break
-        return 0
+        """The depth of the last open element of ``tags``, 0 if one of ``stops`` stands above it."""
+        i = last(tags)
+        return i if i > last(stops) else 0
 
     at = 0
     while True:
@@ -123,6 +131,7 @@ def parse(source: str) -> Node:
             at = close.end() if close else len(source)
             node.close()
         else:
+            depths.setdefault(tag, []).append(len(stack))
             stack.append(node)
     if at < len(source):
         stack[-1].kids.append(html.unescape(source[at:]))
@@ -145,34 +154,40 @@ def left_out(node: Node, inside: bool) -> bool:
         return False
     if node.holds_article:  # a wrapper of the content, unless it holds the articles of readers or of other pages
         return bool(BESIDE.intersection(f"{names.get('class', '')} {names.get('id', '')}".lower().split()))
-    for token in f"{names.get('class', '')} {names.get('id', '')}".lower().split():
-        first = re.split(r"[-_]", token)[0]
-        if (token in NAMES or first in NAMES) and not (inside and first == "header"):
-            return True
-    return False
+    return any(set_apart(token, inside) for token in f"{names.get('class', '')} {names.get('id', '')}".lower().split())
+
+
+def set_apart(token: str, inside: bool) -> bool:
+    """Whether a class or id names such a part: every word of it does, or says nothing else. A header may stand in an article."""
+    words = [w for w in re.split(r"[-_]+", token) if w]
+    return any(w in NAMES and not (inside and w == "header") for w in words) and all(w in NAMES or w in BESIDES or re.fullmatch(r"\d+(?:x\d+)?", w) for w in words)
 
 
 def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def subtrees(root: Node) -> list[int]:
-    """The different hashes of all elements with text, inside and outside the content."""
-    seen: dict[int, None] = {}
-    todo = [root]
+def hashes(node: Node, into: dict[int, None]) -> None:
+    """Add the hashes of an element and of those below it that hold text."""
+    todo = [node]
     while todo:
-        for kid in todo.pop().kids:
-            if isinstance(kid, Node) and kid.words:
-                seen[signed(kid.hash)] = None
-                todo.append(kid)
-    return list(seen)
+        node = todo.pop()
+        if node.words and node.tag != "#root":
+            into[signed(node.hash)] = None
+            todo += [k for k in node.kids if isinstance(k, Node)]
+
+
+def marked_content(node: Node) -> bool:
+    names = node.named()
+    return any(MARKED.match(t) for t in f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".split())
 
 
-def blocks(source: str | None) -> tuple[list[tuple[str, list[int], list[list[int]]]], list[int]]:
-    """The blocks of a page's main text and the hashes of all its subtrees.
+def blocks(source: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, int]], list[int]]:
+    """The blocks of a page's main text, the elements of the content, and the hashes of all other elements with text.
 
-    With a block go the hashes of the block elements around it and, if all of its text stands in inline elements,
-    the hashes around each piece: the site's link or phrase in a sentence of the page's own leaves it whole.
+    Pieces of text are counted from 0 through the content. A block (text, begin, end) holds pieces begin to end, and so
+    does an element (hash, begin, end): blocks whose pieces all stand in deleted elements go, while the site's link
+    or phrase in a sentence of the page's own leaves it whole.
     """
     root = parse(source or "")
     has_article, marked = root.holds_article, False
@@ -180,43 +195,40 @@ def blocks(source: str | None) -> tuple[list[tuple[str, list[int], list[list[int
         todo = [root]
         while todo and not marked:
             for kid in (k for k in todo.pop().kids if isinstance(k, Node)):
-                names = kid.named()
-                marked |= any(MARKED.match(t) for t in f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".split())
+                marked |= marked_content(kid)
                 todo.append(kid)
-    out: list[tuple[str, list[int], list[list[int]]]] = []
+    out: list[tuple[str, int, int]] = []
+    elements: list[list[int]] = []
+    others: dict[int, None] = {}
     now: list[str] = []
-    pieces: dict[tuple[int, ...], None] = {}
-    path: list[int] = []
-    inline: list[int] = []
+    n = begin = 0
 
     def flush() -> None:
+        nonlocal begin
         if text := " ".join("".join(now).split()):
-            out.append((text, list(path), [] if () in pieces else [list(p) for p in pieces]))
+            out.append((text, begin, n))
         now.clear()
-        pieces.clear()
+        begin = n
 
-    # (node or text, inside the content, leaving)
-    todo: list = [(root, not has_article and not marked, False)]
+    # (node or text, inside the content, the place of an element to leave or None)
+    todo: list = [(root, not has_article and not marked, None)]
     while todo:
-        item, inside, leaving = todo.pop()
+        item, inside, place = todo.pop()
         if isinstance(item, str):
             if inside:
                 now.append(item)
-                if item.strip():
-                    pieces[tuple(inline)] = None
-            continue
-        if leaving == "inline":
-            inline.pop()
+                n += bool(item.strip())
             continue
-        if leaving:
-            flush()
-            if leaving == "block":
-                path.pop()
+        if place is not None:
+            if item.tag in BLOCK:
+                flush()
+            elements[place][2] = n
             continue
         if item.tag == "br":
             now.append(" ")
             continue
         if item.tag != "#root" and left_out(item, inside and has_article):
+            hashes(item, others)
             if item.tag in BLOCK:
                 flush()
             continue
@@ -226,49 +238,56 @@ def blocks(source: str | None) -> tuple[list[tuple[str, list[int], list[list[int
             if has_article:
                 inside = item.tag in ("article", "main") and not (item.tag == "main" and any(isinstance(k, Node) and k.holds_article for k in item.kids))
             elif marked:
-                names = item.named()
-                inside = any(MARKED.match(t) for t in f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".split())
-        state: bool | str = item.tag in BLOCK
-        if inside and item.words and item.tag != "#root":
-            state = "block" if item.tag in BLOCK else "inline"
-            (path if state == "block" else inline).append(signed(item.hash))
-        if state:
-            todo.append((item, inside, state))
-        todo.extend((kid, inside, False) for kid in reversed(item.kids))
+                inside = marked_content(item)
+        if item.tag in BLOCK or item.words and item.tag != "#root":
+            todo.append((item, inside, len(elements)))
+            elements.append([signed(item.hash) if item.words else 0, n, n])
+        todo.extend((kid, inside, None) for kid in reversed(item.kids))
     flush()
-    return out, subtrees(root)
+    held = [tuple(e) for e in elements if e[2] > e[1]]
+    inner = {e[0] for e in held}
+    others.update(dict.fromkeys(e[0] for e in elements if e[0]))
+    return out, held, [h for h in others if h not in inner]
 
 
-PARSED = "page_id {id}, url string, host string, page bigint, blocks array<struct<text:string,within:array<bigint>,pieces:array<array<bigint>>>>, subtrees array<bigint>"
+PARSED = "page_id {id}, url string, host string, page bigint, tree bigint, blocks array<struct<text:string,begin:int,end:int>>, elements array<struct<hash:bigint,begin:int,end:int>>, others array<bigint>"
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, a hash of the page, its blocks and subtrees, of every row."""
+    """page_id, url, host, hashes of the page's main text and of all its elements, its blocks and elements, of every row."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     src = pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
     kind = src.schema["page_id"].dataType.simpleString()
-    shape = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64())), ("pieces", pa.list_(pa.list_(pa.int64())))]))
+    triple = lambda a, t: pa.list_(pa.struct([(a, t), ("begin", pa.int32()), ("end", pa.int32())]))
+    digest = lambda parts: xxhash.xxh64_intdigest("\x00".join(parts)) >> 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 found = [blocks(h.as_py()) for h in part.column(3)]
-                page = [xxhash.xxh64_intdigest("\x00".join(t for t, *_ in b)) >> 1 for b, _ in found]
+                page = [digest(t for t, *_ in b) for b, *_ in found]
+                tree = [digest(map(str, sorted({*o, *(h for h, *_ in e)}))) for _, e, o in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(page, pa.int64()), pa.array([[{"text": t, "within": w, "pieces": i} for t, w, i in b] for b, _ in found], shape), pa.array([s for _, s in found], pa.list_(pa.int64()))],
-                    names=["page_id", "url", "host", "page", "blocks", "subtrees"],
-                )
+                    [
+                        *part.columns[:3], pa.array(page, pa.int64()), pa.array(tree, pa.int64()),
+                        pa.array([[{"text": t, "begin": i, "end": j} for t, i, j in b] for b, *_ in found], triple("text", pa.string())),
+                        pa.array([[{"hash": h, "begin": i, "end": j} for h, i, j in e] for _, e, _ in found], triple("hash", pa.int64())),
+                        pa.array([o for *_, o in found], pa.list_(pa.int64())),
+                    ],
+                    names=["page_id", "url", "host", "page", "tree", "blocks", "elements", "others"],
+                )
 
     return src.mapInArrow(run, PARSED.format(id=kind))
 
 
 def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, site: the hashes of the subtrees that recur on a host. Copies of a page count once.
+    """host, site: the hashes of the elements that recur on a host. Pages of one main text count once, as the one of least tree.
 
     Their number grows at most as the square root of the host's pages.
     """
-    different = parsed.groupBy("host", "page").agg(F.first("subtrees").alias("subtrees"))
+    every = F.array_distinct(F.concat("elements.hash", "others"))
+    different = parsed.groupBy("host", "page").agg(F.min_by(every, "tree").alias("subtrees"))
     n = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     counts = different.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("on")).where(F.col("on") >= least_pages)
     site = counts.join(n, "host").where(F.col("on") >= F.sqrt("pages") / 2)
@@ -279,15 +298,27 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url and text of every row.
 
     A null or empty page has an empty text. Pages without a host (null or odd url) form one host. Repeated
-    rows and repeated ids stay rows of their own. Other columns aren't read. Empty in, empty out. Hosts'
-    templates are joined by size: broadcast below Spark's threshold, else by a join that splits hot hosts.
+    rows and repeated ids stay rows of their own. Long and deeply nested pages take time in proportion to their
+    length. Other columns aren't read. Empty in, empty out. Hosts' templates are joined by size: broadcast below
+    Spark's threshold, else by a join that splits hot hosts.
     """
     parsed = written(parse_pages(pages), "pages")
     site = written(templates(parsed, least_pages), "site")
     joined = parsed.join(site, "host", "left")
-    sites = lambda hashes: F.arrays_overlap(hashes, F.col("site"))
-    joined = joined.withColumn("site", F.array_intersect("subtrees", "site"))  # the page's own, once for all its blocks
-    kept = F.filter("blocks", lambda b: F.col("site").isNull() | ~(sites(b["within"]) | ((F.size(b["pieces"]) > 0) & F.forall(b["pieces"], sites))))
+
+    def cuts(own: Column) -> Column:
+        """The outermost deleted elements, in page order; elements come before those they hold."""
+        gone = F.filter("elements", lambda e: F.array_contains(own, e["hash"]))
+        begin = F.struct(F.lit(0).alias("to"), F.slice("elements", 1, 0).alias("outer"))
+        put = lambda a, e: F.when(e["end"] > a["to"], F.struct(e["end"].alias("to"), F.concat(a["outer"], F.array(e)).alias("outer"))).otherwise(a)
+        return F.aggregate(gone, begin, put, lambda a: a["outer"])
+
+    def rest(outer: Column) -> Column:
+        covered = lambda b: F.aggregate(outer, F.lit(0), lambda a, e: a + F.greatest(F.least(e["end"], b["end"]) - F.greatest(e["begin"], b["begin"]), F.lit(0)))
+        return F.filter("blocks", lambda b: covered(b) < b["end"] - b["begin"])
+
+    own = F.array_intersect("elements.hash", "site")
+    kept = F.when(F.col("site").isNull(), F.col("blocks")).otherwise(let(own, lambda o: F.when(F.size(o) == 0, F.col("blocks")).otherwise(let(cuts(o), rest))))
     return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))
 
 

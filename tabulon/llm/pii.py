@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import hash_below, held_out, share_of, table
+from tabulon.llm.common import hash_below, held_out, let, share_of, table
 
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -49,11 +49,6 @@ LEAST_FORMAT = 5
 FORMATS = 50
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def located(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
     """array<struct<start, match, left, right>> of the valid matches; left and right: what stands between matches."""
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))

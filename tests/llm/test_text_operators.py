@@ -283,3 +283,23 @@ def test_deduplicate_tells_texts_of_one_id_apart(spark):
     assert kept.columns == d.columns
     assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(1, "one two three four five"), (1, "quite another text with other words"), (2, "")]
     assert simhash.deduplicate(d.limit(0)).count() == 0
+
+
+def test_names_set_parts_apart_only_as_whole_words():
+    for name in ("ad", "ad-slot", "ad-300x250", "site-footer", "cookie-notice", "sidebar_left", "related-posts"):
+        assert main_text.set_apart(name, False), name
+    for name in ("share-of-market", "header-image", "has-sidebar", "post-title", "adverb", ""):
+        assert not main_text.set_apart(name, False), name
+    assert main_text.set_apart("header", False) and not main_text.set_apart("header", True)
+    text = lambda h: " ".join(t for t, *_ in main_text.blocks(h)[0])
+    assert text('<article><div class="share-of-market"><p>inside</div><div class="share-buttons">no</div></article>') == "inside"
+    assert text('<div class="header-image"><p>lead</div>') == "lead"
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + "x", "<div>a" * 100_000, "<p>a<b>" * 50_000, "<ul><li>a" * 50_000, "<i>a</b>" * 50_000])
+def test_deep_pages_take_time_in_proportion(source):
+    import time
+
+    begin = time.perf_counter()
+    found = main_text.blocks(source)[0]
+    assert time.perf_counter() - begin < 10 and "".join(t for t, *_ in found).strip("ax") == ""
