@@ -1,10 +1,11 @@
 """Personal data in texts: strict base rules, and further spans chosen by boosted trees.
 
 The base rules find e-mail addresses, IP addresses, card numbers and phone numbers. Besides, generators
-of high recall propose overlapping spans. Gradient-boosted trees score each proposal by its format and
-its context; they are fitted on a bounded sample of proposals. Personal data are, besides what a base rule
-of the kind accepts, the same spans with the trait that the rule checks altered (an address with (at), a
-mistyped card number, a phone number without its plus) and proposals with evidence of format and context.
+of high recall propose overlapping spans of these kinds and of secrets (keys, tokens), which no base rule finds.
+Gradient-boosted trees score each proposal by its format and its context; they are fitted on a bounded sample of
+proposals. Personal data are, besides what a base rule of the kind accepts, the same spans with the trait that the
+rule checks altered (an address with (at), a mistyped card number, a phone number without its plus), proposals with
+evidence of format and context, and secrets that are assigned to a telling name, also out of that context.
 A threshold of each kind is calibrated by score histograms over the whole fold that the trees don't learn from.
 
 Texts are handled by DataFrame functions alone: spans are arrays inside the row, nothing is shuffled.
@@ -20,9 +21,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import hash_below, held_out, let, share_of, table
+from tabulon.llm.common import hash_below, held_out, let, share_of, table, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds of added spans: those of the base rules, and one that has none.
+EVERY = (*KINDS, "secret")
+SECRET = len(KINDS)
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -31,13 +35,17 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|＠|\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?)[A-Za-z0-9-]{1,63}){1,5}",
-    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,4}(?:[.,:][0-9]{1,4}){3}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]{0,2}[0-9]){11,19}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z.])\(?[0-9]{1,4}\)?(?:[\x20./-]{0,2}\(?[0-9]{2,5}\)?){1,6}(?![0-9A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|＠|\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?)[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9A-Za-z.])[0-9]++(?:[.,:][0-9]++){3}+(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]{0,2}+[0-9]){11,}+(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z.])\(?[0-9]++\)?(?:[\x20./-]{0,2}+\(?[0-9]++\)?)*+(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+=*+",
 }
-FEATURES = ("digits", "length", "separators", "groups", "longest_group", "first_digit", "at", "dots", "brackets", "left_space", "left_equals", "left_cue", "right_space", "right_word", "others")
+#: What a proposal must have besides: a short number alone is no phone number.
+PROPOSED: dict[str, Callable[[Column], Column]] = {"phone": lambda m: m.rlike("[0-9][^0-9]+[0-9]") | (n_digits(m) >= 7)}
+FEATURES = ("digits", "length", "separators", "groups", "longest_group", "first_digit", "at", "dots", "brackets", "left_space", "left_equals", "left_cue", "right_space", "right_word", "others", "letters", "capitals", "hexadecimal", "left_secret")
 CUES = r"(?i)(tel|phone|call|fax|mobil|card|visa|ip|host|server|addr|mail|contact|correo|karte|carte)"
+SECRET_CUES = r"(?i)(token|secret|passw|pwd|api|key|auth|bearer|credential)"
 #: Documents that the trees' sample is drawn from, and trees.
 SAMPLE_DOCS = 20_000
 TREES = 24
@@ -145,6 +153,10 @@ def features(c: Column, others: Column) -> Column:
         right.rlike(r"^($|\s)"),
         right.rlike(r"^[A-Za-z0-9_]"),
         others,
+        F.length(F.regexp_replace(m, "[^A-Za-z]", "")),
+        F.length(F.regexp_replace(m, "[^A-Z]", "")),
+        m.rlike("^[0-9a-f]+$") | m.rlike("^[0-9A-F]+$"),
+        left.rlike(SECRET_CUES),
     ]
     return F.array(*(x.cast("int").cast("double") for x in cols))
 
@@ -165,9 +177,9 @@ def proposals(text: Column, base: Column, others: Column | None = None) -> Colum
                 features(s, F.size(base) if others is None else others).alias("f"),
             )
 
-        return F.transform(gated(kind, text, GENERATORS[kind], lambda m: F.lit(True)), one)
+        return F.transform(gated(kind, text, GENERATORS[kind], PROPOSED.get(kind, lambda m: F.lit(True))), one)
 
-    return F.concat(*(of(k, kind) for k, kind in enumerate(KINDS)))
+    return F.concat(*(of(k, kind) for k, kind in enumerate(EVERY)))
 
 
 class Trees:
@@ -175,7 +187,7 @@ class Trees:
 
     def __init__(self) -> None:
         self.start, self.trees = 0.0, []
-        self.threshold = {k: float("inf") for k in range(len(KINDS))}
+        self.threshold = {k: float("inf") for k in range(len(EVERY))}
 
     @staticmethod
     def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray]) -> tuple[float, int, float]:
@@ -266,6 +278,11 @@ def format_of(m: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(m, "[0-9]", "9"), "[A-Za-z]+", "a")
 
 
+def assigned(c: Column) -> Column:
+    """Whether a secret stands as the value of a name that tells of one."""
+    return (c["kind"] == SECRET) & (c["f"][10] > 0) & (c["f"][18] > 0)
+
+
 def evident(c: Column, formats: dict[int, list[str]]) -> Column:
     """Whether format and context speak for a proposal: a written-out at sign; a cue before it, or a format of altered spans."""
     digits, dots, cue = c["f"][0], c["f"][7], c["f"][11] > 0
@@ -274,36 +291,53 @@ def evident(c: Column, formats: dict[int, list[str]]) -> Column:
         F.when(c["kind"] == 0, c["match"].rlike(r"[(\[{]at[)\]}]|＠"))
         .when(c["kind"] == 1, (cue & (dots == 3)) | known(1))
         .when(c["kind"] == 2, digits.between(13, 19) & (cue | known(2)))
+        .when(c["kind"] == SECRET, assigned(c))
         .otherwise(digits.between(9, 15) & (cue | known(3)))
     )
 
 
+def proposed(rows: DataFrame) -> DataFrame:
+    """c: the proposals of ``rows`` (text), but for those that meet a base span of another kind and can't be added."""
+    found = rows.select(F.explode(let(base_spans(F.col("text")), lambda b: proposals(F.col("text"), b))).alias("c"))
+    return found.where(F.col("c.strict") | addable(F.col("c")))
+
+
+def addable(c: Column) -> Column:
+    """A secret may hold what a base rule takes for a card number; other proposals don't add to base spans that they meet."""
+    return ~c["covered"] | (c["kind"] == SECRET)
+
+
 def altered(rows: DataFrame) -> DataFrame:
-    """c: the proposals that meet the base spans of ``rows`` (text), each altered within its own context."""
+    """c: the proposals that meet the base spans of ``rows`` (text), each altered within its own context; and assigned secrets without theirs."""
 
     def of(k: int, kind: str, text: Column) -> Column:
         return F.transform(gated(kind, text, BASE[kind], VALID[kind]), lambda s: F.struct(F.lit(k).alias("kind"), s["left"].alias("left"), ALTERED[kind](s["match"]).alias("match"), s["right"].alias("right")))
 
     spans = rows.select(F.concat(*(of(k, kind, F.col("text")) for k, kind in enumerate(KINDS))).alias("all")).select(F.explode("all").alias("s"), (F.size("all") - 1).alias("others"))
     parts = spans.select("s.kind", "others", F.length("s.left").alias("at"), (F.length("s.left") + F.length("s.match")).alias("to"), F.concat("s.left", "s.match", "s.right").alias("text"))
+    secrets = proposed(rows).where(assigned(F.col("c"))).select("c.match", F.col("c.f")[14].cast("int").alias("others"))
+    parts = parts.unionByName(secrets.select(F.lit(SECRET).alias("kind"), "others", F.lit(1).alias("at"), (F.length("match") + 1).alias("to"), F.concat(F.lit(" "), "match", F.lit(" ")).alias("text")))
     found = parts.select("kind", "at", "to", F.explode(let(base_spans(F.col("text")), lambda b: proposals(F.col("text"), b, F.col("others")))).alias("c"))
-    return found.where((F.col("c.kind") == F.col("kind")) & ~F.col("c.covered") & (F.col("c.start") < F.col("to")) & (F.col("c.end") > F.col("at"))).select("c")
+    return found.where((F.col("c.kind") == F.col("kind")) & addable(F.col("c")) & (F.col("c.start") < F.col("to")) & (F.col("c.end") > F.col("at"))).select("c")
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text: str = "text") -> Trees:
-    """Trees fitted on the proposals of about ``sample_docs`` documents, chosen by a hash of the id, and calibrated on all held-out ones."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("text").rlike(r"[0-9@＠]|[(\[{]at[)\]}]"))
-    fold = rows.where(~held_out() & hash_below(share_of(docs.count(), sample_docs), "doc_id", seed=29))
-
-    def proposed(rows: DataFrame) -> DataFrame:
-        return rows.select(F.explode(let(base_spans(F.col("text")), lambda b: proposals(F.col("text"), b))).alias("c")).where("c.strict or not c.covered")  # another kind's span can't be added
+    """Trees fitted on the proposals of about ``sample_docs`` documents, chosen by a hash of the id, and calibrated on all held-out ones.
 
+    Null texts and texts without a digit or an at sign propose nothing. Rows that repeat an id are held out, or chosen,
+    together; a null id is held out. Among splits of equal gain the first feature and the least cut are taken. An empty
+    table, or one without both kinds of proposal, gives trees that add nothing.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("text").rlike(r"[0-9@＠]|[(\[{]at[)\]}]"))
+    # written first: Spark would else work out the proposals of every row before it tests the hash
+    fold = written(rows.where(~held_out() & hash_below(share_of(docs.count(), sample_docs), "doc_id", seed=29)), "fold")
+    test = written(rows.where(held_out()).select("text"), "test")
     changed = altered(fold).select("c.kind", format_of(F.col("c.match")).alias("format"), "c.f").collect()
     formats: dict[int, list[str]] = {}
-    for k in range(1, len(KINDS)):
+    for k in range(1, SECRET):
         seen = Counter(r["format"] for r in changed if r["kind"] == k and not r["format"].isdigit())
         formats[k] = [f for f, n in sorted(seen.items(), key=lambda e: (-e[1], e[0]))[:FORMATS] if n >= LEAST_FORMAT]
-    label = F.col("c.strict") | (~F.col("c.covered") & evident(F.col("c"), formats))
+    label = F.col("c.strict") | (addable(F.col("c")) & evident(F.col("c"), formats))
     got = [(r[0], float(r[1]), r[2]) for r in proposed(fold).select("c.kind", label, "c.f").collect()] + [(r["kind"], 1.0, r["f"]) for r in changed]
     if not got:
         return Trees()
@@ -311,7 +345,6 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id
     if not 0 < y.sum() < len(y):
         return Trees()
     trees = Trees().fit(np.column_stack([np.array([r[2] for r in got], float), kind]), y)
-    test = rows.where(held_out())
     every = proposed(test).select("c", label.alias("y")).unionByName(altered(test).select("c", F.lit(True).alias("y")))
     at = F.floor(trees.column(F.concat("c.f", F.array(F.col("c.kind").cast("double")))) * BINS)
     counts = every.groupBy(F.col("c.kind").alias("kind"), at.alias("at")).agg(F.count("*").alias("n"), F.count_if("y").alias("hit")).collect()
@@ -319,11 +352,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id
 
 
 def all_spans(text: Column, trees: Trees) -> Column:
-    """struct<base, added>: arrays of struct<kind, start, end>; added spans overlap no base span and no better added one."""
+    """struct<base, added>: arrays of struct<kind, start, end>; added spans overlap no better added one and, but for secrets, no base span."""
 
     def scored(b: Column) -> Column:
         marked = F.transform(
-            F.filter(proposals(text, b), lambda c: ~c["covered"]),
+            F.filter(proposals(text, b), addable),
             lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), trees.column(F.concat(c["f"], F.array(c["kind"].cast("double")))).alias("score")),
         )
         return F.filter(marked, lambda c: trees.reaches(c["kind"], c["score"]))
@@ -350,16 +383,17 @@ def find(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",), tex
 
 def listed(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, EVERY))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def redact(docs: DataFrame, text: str = "text", trees: Trees | None = None) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans are replaced as one.
 
-    ``n_chars``, where there is one, follows the new text. A null text stays null.
+    ``n_chars``, where there is one, follows the new text. A null text stays null, an empty one empty. Rows are
+    independent, so repeated rows and null ids pass through; other columns stay as they are. Empty in, empty out.
     """
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in EVERY))
     t = F.col(text)
 
     def cut(spans: Column) -> Column:

@@ -303,3 +303,27 @@ def test_deep_pages_take_time_in_proportion(source):
     begin = time.perf_counter()
     found = main_text.blocks(source)[0]
     assert time.perf_counter() - begin < 10 and "".join(t for t, *_ in found).strip("ax") == ""
+
+
+def test_secrets_are_added_with_and_without_their_name_and_identifiers_are_not(spark):
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    keys = [key() for _ in range(420)]
+    good = [f'then they set token = "{k}" at noon' for k in keys[:400]]
+    bare = [f"we saw {k} there" for k in keys[400:]]
+    other = [f"read chapter-{i}-of-the-long-book and part-{i % 7}-by-another-hand today" for i in range(400)]
+    d = docs(spark, [*good, *bare, *other])
+    trees = pii.train(d)
+    found = {r["text"]: r["s"] for r in pii.find(d, trees, keep=("text",)).select("text", pii.listed("spans").alias("s")).collect()}
+    wrong = {t: found[t] for t, k in zip([*good, *bare], keys) if not found[t].endswith(f"secret:{t.index(k)}:{t.index(k) + 40}")}
+    assert not wrong
+    assert {found[t] for t in other} == {""}
+    assert {r["text"] for r in pii.redact(d, trees=trees).collect()} == {'then they set token = "[SECRET]" at noon', "we saw [SECRET] there", *other}
+    none = pii.train(d.limit(0))
+    assert not none.trees and pii.redact(d.limit(0)).count() == 0
+
+
+def test_proposals_have_no_bound_of_length():
+    local = "a" * 300
+    for kind, text in {"email": f"{local}(at)" + "b" * 90 + ".c" * 9, "card": "1 2" * 30, "phone": "12-345" * 40, "ip": "12345.6.7.8", "secret": "a1" * 400}.items():
+        assert regex.fullmatch(pii.GENERATORS[kind], text), kind
