@@ -1,11 +1,12 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of letters.
 
-The model is of order four over code points (later ones as two symbols each), trained on all trusted texts. Its counts, continuation
-counts and probabilities are tables keyed by n-gram, made and joined by Spark; they hold every n-gram of
-the corpus (those that trusted text lacks with count zero), so that each gets its interpolated
-probability by the same joins. Texts are read in blocks, the file splits of the input: a block asks for
-the probability of each of its different n-grams once, and its texts, packed, meet these probabilities in
-one join. Documents are kept below a quantile of the trusted documents' perplexity in their language.
+The model is of order four over code points (later ones as two symbols each), trained on the trusted texts that
+aren't held out. Its counts, continuation counts and probabilities are tables keyed by n-gram, made and joined by
+Spark; they hold every n-gram of the corpus (those that trusted text lacks with count zero), so that each gets its
+interpolated probability by the same joins. Texts are read once, into blocks of some megabytes: a block carries its
+texts, packed, and each of its different n-grams once. The n-grams of all blocks meet the model in one join by
+n-gram; a block's own probabilities, bounded as its text is, then meet its pack, a few blocks in each task.
+Documents are kept below a quantile of the perplexity of held-out trusted documents of their language.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import table, written
+from tabulon.llm.common import held_out, table, written
 
 ORDER = 4
 BITS = 12
@@ -34,7 +36,9 @@ QUANTILE = 0.99
 #: A text too short to be trusted says little: so many standard errors of its mean count in its favour.
 SPREAD = 2.0
 LEAST_CHARS = 200
-PACK_CHARS = 1 << 22
+#: Code points of a block's texts, and blocks of a task that scores them.
+BLOCK_CHARS = 1 << 22
+TASK_BLOCKS = 4
 #: Symbols that a task counts at once; its arrays are some hundred bytes for each.
 COUNT_CHARS = 1 << 19
 
@@ -82,44 +86,67 @@ def trusted(text: str | None) -> bool:
 
 
 def _source(docs: DataFrame, id_col: str, lang: str, text: str) -> DataFrame:
-    """The rows with their block: the file split that a row stands in."""
-    block = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.spark_partition_id())
-    return docs.select(block.alias("block"), F.col(id_col).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(lang).cast("string").alias("lang"), held_out(id_col).alias("held_out"), F.col(text).cast("string").alias("text"))
 
 
-def block_grams(src: DataFrame, trust: Callable[[str | None], bool] = trusted) -> DataFrame:
-    """block, gram, n: the different n-grams of each block, with their count in trusted texts."""
+def blocked(src: DataFrame, trust: Callable[[str | None], bool] = trusted) -> DataFrame:
+    """block, pack, gram, n: the rows of a block, compressed, its different n-grams, and their counts in trusted texts that aren't held out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    Blocks are cut as a task reads its rows, so the table is written before it is used; a task that is run again cuts its own anew.
+    """
 
-        def add(block: int, parts: list[np.ndarray], weights: list[np.ndarray]) -> None:
-            old = total.get(block, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            keys, at = np.unique(np.concatenate([old[0], *parts]), return_inverse=True)
-            total[block] = keys, np.bincount(at, np.concatenate([old[1], *weights])).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, task, k = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts, weights, size, chars = [], [], 0, 0
+
+        def count() -> None:
+            nonlocal keys, counts, parts, weights, size
+            new, at = np.unique(np.concatenate([keys, *parts]), return_inverse=True)
+            keys, counts = new, np.bincount(at, np.concatenate([counts, *weights])).astype(np.int64)
+            parts, weights, size = [], [], 0
+
+        def emit() -> pa.RecordBatch:
+            nonlocal k, held, keys, counts, chars
+            count()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                for batch in held:
+                    out.write_batch(batch)
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([task << 32 | k]), pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary()), pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
+                names=["block", "pack", "gram", "n"],
+            )
+            k, held, chars = k + 1, [], 0
+            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return row
 
         for batch in batches:
-            parts, weights, size, last = [], [], 0, None
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(3)):
+            begin = 0
+            for i, (out, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
                 text = text.as_py()
-                if parts and (block != last or size > COUNT_CHARS):
-                    add(last, parts, weights)
-                    parts, weights, size = [], [], 0
-                g = grams(text)
-                parts.append(g)
-                weights.append(np.full(len(g), int(trust(text))))
-                size, last = size + len(g), block
-            if parts:
-                add(last, parts, weights)
-            for block in [b for b in total if b != last]:  # rows of a split come together
-                yield emit(block, *total.pop(block))
-        for block, found in total.items():
-            yield emit(block, *found)
-
-    def emit(block: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys), pa.array(n)], names=["block", "gram", "n"])
-
-    return src.mapInArrow(run, "block bigint, gram bigint, n bigint")
+                for g in _pieces(grams(text)):
+                    parts.append(g)
+                    weights.append(np.full(len(g), float(not out and trust(text))))
+                    size += len(g)
+                    if size > COUNT_CHARS:
+                        count()
+                chars += len(text or "")
+                if chars >= BLOCK_CHARS or i + 1 == batch.num_rows:
+                    held.append(batch.slice(begin, i + 1 - begin))
+                    begin = i + 1
+                if chars >= BLOCK_CHARS:
+                    yield emit()
+        if held:
+            yield emit()
+
+    return src.mapInArrow(run, "block bigint, pack binary, gram array<bigint>, n array<bigint>")
+
+
+def _pieces(g: np.ndarray) -> Iterator[np.ndarray]:
+    for i in range(0, len(g), COUNT_CHARS):
+        yield g[i : i + COUNT_CHARS]
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -158,72 +185,47 @@ def probabilities(found: DataFrame) -> DataFrame:
     return below.select("gram", F.log("p").alias("logp"))
 
 
-def packed(src: DataFrame) -> DataFrame:
-    """block, pack: the rows of a block, some megabytes of text together, compressed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            sizes = [len(x) for x in batch.column(3).fill_null("").to_pylist()]
-            begin = size = 0
-            for i in range(len(blocks)):
-                size += sizes[i]
-                if i + 1 == len(blocks) or size >= PACK_CHARS or blocks[i + 1] != blocks[i]:
-                    sink = pa.BufferOutputStream()
-                    part = batch.slice(begin, i + 1 - begin).select([1, 2, 3])
-                    with pa.ipc.new_stream(sink, part.schema) as out:
-                        out.write_batch(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(blocks[i])]), pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["block", "pack"])
-                    begin, size = i + 1, 0
-
-    return src.mapInArrow(run, "block bigint, pack binary")
-
-
 def perplexities(docs: DataFrame, trust: Callable[[str | None], bool] = trusted, id_col: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
-    """doc_id, lang, trusted, n_grams, perplexity and its lower bound at_least, of every row."""
+    """doc_id, lang, held_out, trusted, n_grams, perplexity and its lower bound at_least, of every row."""
     src = _source(docs, id_col, lang, text)
-    found = written(block_grams(src, trust), "grams")
-    logp = probabilities(found)
-    listed = found.select("block", "gram").join(logp, "gram").groupBy("block").agg(F.collect_list(F.struct("gram", "logp")).alias("model"))
-    met = packed(src).join(listed, "block", "left").select("pack", F.col("model.gram").alias("gram"), F.col("model.logp").alias("logp"))
     kind = src.schema["doc_id"].dataType.simpleString()
+    parts = written(blocked(src, trust), "blocks")
+    every = parts.select("block", F.explode(F.arrays_zip("gram", "n")).alias("g")).select("block", "g.gram", "g.n")
+    logp = written(probabilities(every.select("gram", "n")), "logp")
+    tasks = max(1, -(-parts.count() // TASK_BLOCKS))
+    listed = every.select("block", "gram").join(logp, "gram").repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("gram", "logp")).alias("model"))
+    met = parts.select("block", "pack").repartition(tasks, "block").join(listed, "block").select("pack", F.col("model.gram").alias("gram"), F.col("model.logp").alias("logp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
-                if not batch.column(1)[i].is_valid:
-                    raise RuntimeError("the input was split in another way when it was read again")
                 keys, values = batch.column(1)[i].values.to_numpy(), batch.column(2)[i].values.to_numpy()
                 order = np.argsort(keys)
                 keys, values = keys[order], values[order]
                 for part in pa.ipc.open_stream(open_(batch.column(0)[i].as_py())):
                     own, n, ppl, low = [], [], [], []
-                    for t in part.column(2):
+                    for t in part.column(3):
                         t = t.as_py()
-                        g = grams(t)
-                        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-                        if (keys[at] != g).any():
-                            raise RuntimeError("the input was split in another way when it was read again")
-                        v = values[at]
-                        own.append(trust(t)), n.append(len(g)), ppl.append(float(np.exp(-v.mean()))), low.append(float(np.exp(-v.mean() - SPREAD * v.std() / np.sqrt(len(v)))))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.bool_()), pa.array(n, pa.int64()), pa.array(ppl, pa.float64()), pa.array(low, pa.float64())], names=["doc_id", "lang", "trusted", "n_grams", "perplexity", "at_least"])
+                        v = values[np.searchsorted(keys, grams(t))]
+                        own.append(trust(t)), n.append(len(v)), ppl.append(float(np.exp(-v.mean()))), low.append(float(np.exp(-v.mean() - SPREAD * v.std() / np.sqrt(len(v)))))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(own, pa.bool_()), pa.array(n, pa.int64()), pa.array(ppl, pa.float64()), pa.array(low, pa.float64())], names=["doc_id", "lang", "held_out", "trusted", "n_grams", "perplexity", "at_least"])
 
-    return met.mapInArrow(run, f"doc_id {kind}, lang string, trusted boolean, n_grams bigint, perplexity double, at_least double")
+    return met.mapInArrow(run, f"doc_id {kind}, lang string, held_out boolean, trusted boolean, n_grams bigint, perplexity double, at_least double")
 
 
 def judge(docs: DataFrame, quantile: float = QUANTILE, trust: Callable[[str | None], bool] = trusted, id_col: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
-    """doc_id, lang, trusted, n_grams, perplexity, at_least, threshold and kept of every row.
+    """doc_id, lang, held_out, trusted, n_grams, perplexity, at_least, threshold and kept of every row.
 
     A text is kept up to its language's quantile of perplexity; one too short to be trusted is held against it
-    by at_least, its perplexity less SPREAD standard errors.
-    A null or empty text is one end symbol and isn't kept. A language (null is one) without trusted texts
-    takes the threshold of all trusted texts; without any, every text is kept. Repeated rows are rows of
-    their own; other columns aren't read. Empty in, empty out.
+    by at_least, its perplexity less SPREAD standard errors. Quantiles are those of trusted texts that the model
+    didn't learn from. A null or empty text is one end symbol and isn't kept. A language (null is one) without
+    held-out trusted texts takes the threshold of all of them; without any, every text is kept. A null id is held
+    out. Repeated rows are rows of their own; ``docs`` may be any query, read once; other columns aren't read.
+    Empty in, empty out.
     """
     scored = written(perplexities(docs, trust, id_col, lang, text), "scored")
-    own = scored.where("trusted")
+    own = scored.where("trusted and held_out")
     by = written(own.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own")), "quantiles")
     whole = own.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
     out = scored.join(by, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("own", F.lit(whole).cast("double"))).drop("_lang", "own")

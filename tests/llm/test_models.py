@@ -131,10 +131,14 @@ def plain_kneser_ney(texts, order=4):
 
 def test_perplexity_is_kneser_neys(spark):
     texts = ["the cat sat on the mat and the dog ran", "a dog and a cat ran to the mat", "zzz qqq", "", None, "the cat " * 500]
-    d = spark.createDataFrame([(i, t, "en" if i else None, 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, perplexity int")
+    held = next(i for i in range(10, 99) if crc32(str(i).encode()) % 5 == 0)
+    ids = [i if crc32(str(i).encode()) % 5 else i + 1000 for i in range(len(texts))]
+    ids[1] = held  # the one trusted text that the model doesn't learn from
+    d = spark.createDataFrame([(i, t, "en" if k else None, 1) for k, (i, t) in enumerate(zip(ids, texts))], "doc_id long, text string, lang string, perplexity int")
     good = lambda t: bool(t) and "z" not in t
-    got = {r["doc_id"]: r for r in perplexity.judge(d, trust=good).collect()}
-    p = plain_kneser_ney([t for t in texts if good(t)])
+    found = {r["doc_id"]: r for r in perplexity.judge(d, trust=good).collect()}
+    got = [found[i] for i in ids]
+    p = plain_kneser_ney([t for i, t in zip(ids, texts) if good(t) and crc32(str(i).encode()) % 5])
     v = len({int(s) for t in texts for s in perplexity.symbols(t)}) + 1
     for i, t in enumerate(texts):
         logs = [math.log(p(int(g), 4, v)) for g in perplexity.grams(t)]
@@ -145,11 +149,12 @@ def test_perplexity_is_kneser_neys(spark):
 
 
 def test_probabilities_sum_to_one(spark):
-    d = spark.createDataFrame([(0, "abab abba baab " * 9, "en")], "doc_id long, text string, lang string")
-    found = perplexity.block_grams(perplexity._source(d, "doc_id", "lang", "text"), lambda t: True)
+    d = spark.createDataFrame([(1, "abab abba baab " * 9, "en")], "doc_id long, text string, lang string")
+    found = perplexity.blocked(perplexity._source(d, "doc_id", "lang", "text"), lambda t: True)
+    found = found.select(F.explode(F.arrays_zip("gram", "n")).alias("g")).select("g.*")
     grams = np.unique(np.concatenate([perplexity.grams("abab abba baab " * 9)]))
     letters, some = sorted({int(g) & 4095 for g in grams}), int(grams[5]) >> 12
-    every = spark.createDataFrame([(0, some << 12 | w, 0) for w in letters], found.schema)
+    every = spark.createDataFrame([(some << 12 | w, 0) for w in letters], "gram long, n long")
     logp = perplexity.probabilities(found.unionByName(every)).where(F.shiftright("gram", 12) == some).collect()
     v = len(letters) + 1
     total = sum(math.exp(r["logp"]) for r in logp)
@@ -256,7 +261,8 @@ def test_a_long_text_is_held_to_the_quantile_itself(spark):
     rows = perplexity.judge(read(spark, "documents")).collect()
     own = defaultdict(list)
     for r in rows:
-        if r["trusted"]:
+        assert r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if r["trusted"] and r["held_out"]:
             own[r["lang"]].append(r["perplexity"])
     assert own and all(r["threshold"] in own[r["lang"]] for r in rows if own[r["lang"]])
     long = [r for r in rows if r["n_grams"] > perplexity.LEAST_CHARS]
@@ -284,3 +290,14 @@ def test_an_even_mixture_of_four_languages_is_accepted(spark):
     found = language_id.identify(d, language_id.train(d)).where("doc_id = 500").first()
     assert len(found["lang_mix"]) == 4 and found["score"] < 0.3
     assert [r["doc_id"] for r in language_id.accept(d).where("doc_id >= 500").collect()] == [500]
+
+
+def test_perplexity_of_a_joined_input_in_many_blocks(spark, monkeypatch):
+    docs = read(spark, "documents")
+    want = {r["doc_id"]: (r["perplexity"], r["kept"]) for r in perplexity.judge(docs).collect()}
+    monkeypatch.setattr(perplexity, "BLOCK_CHARS", 5000)
+    other = read(spark, "labels").select(F.col("doc_id").alias("other")).groupBy("other").count()
+    got = perplexity.judge(docs.join(other, docs.doc_id == other.other, "left").repartition(7)).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert abs(r["perplexity"] - want[r["doc_id"]][0]) < 1e-9 and r["kept"] == want[r["doc_id"]][1]
