@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -37,13 +38,25 @@ def shape(strptime: str) -> str:
     return f"(?i)^{strptime}$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, and outside generated code."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _each(c: Column, formats: tuple[str, ...], make) -> Column:
-    """The first of ``make(format, timestamp)`` whose format's shape fits. Formats are literals, so that Spark keeps their parsers."""
+    """The first of ``make(format, timestamp)`` whose format's shape fits. Formats are literals, so that Spark keeps their parsers.
+
+    One pattern of all shapes is tried first, so that a text that is no date costs one match.
+    """
+    def first(s: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for f in reversed(formats):
+            out = F.when(s.rlike(shape(f)), make(f, F.try_to_timestamp(s, F.lit(spark_format(f, False))))).otherwise(out)
+        return out
+
     s = F.regexp_replace(c, r"\s+", " ")
-    out = F.lit(None).cast("string")
-    for f in reversed(formats):
-        out = F.when(s.rlike(shape(f)), make(f, F.try_to_timestamp(s, F.lit(spark_format(f, False))))).otherwise(out)
-    return out
+    any_shape = "(?i)" + "|".join(shape(f).removeprefix("(?i)") for f in formats)
+    return F.when(s.rlike(any_shape), let(s, first))
 
 
 def date_format_of(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
@@ -67,24 +80,24 @@ def typed(c: Column, null_tokens: tuple[str, ...] = NULL_TOKENS, formats: tuple[
     Null tokens are tested before anything is trimmed. Numbers may hold commas and spaces. Only texts with
     a space, slash or dash and without a colon can be dates; a date is kept as canonical text.
     """
-    s = F.trim(F.regexp_replace(F.translate(c, "−–—", "---"), '"', ""))
-    s = F.btrim(s, F.lit(" \t\n\r\x0b\x0c"))
-    d = F.regexp_replace(s, "[, ]", "")
-    number = F.regexp_replace(d, "_", "").try_cast("double")
-    endless = F.lower(F.regexp_replace(d, r"^[+-]", "")).isin("inf", "infinity")
-    kind, num, txt = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("string")
-    make = lambda k=kind, n=num, t=txt: F.struct(k.alias("kind"), n.alias("num"), t.alias("txt"))
-    date = F.when(s.rlike(r"[ /-]") & ~s.contains(":"), canonical_date(s, formats))
-    # The chain of formats is long: a lambda over one value evaluates it once and keeps it out of generated code, whose
-    # methods it would make too large to compile.
-    text = F.element_at(F.transform(F.array(date), lambda d: make(F.when(d.isNull(), "str").otherwise("date"), num, F.coalesce(d, s))), 1)
-    return (
-        F.when(c.isNull() | c.isin(*null_tokens) | (F.lower(d) == "nan"), F.lit(None))
-        .when(d.rlike(INTEGER), make(F.lit("int"), number))
-        .when(d.rlike(FLOAT), make(F.lit("float"), number))
-        .when(endless, make(F.lit("float"), F.when(d.startswith("-"), float("-inf")).otherwise(float("inf"))))
-        .otherwise(text)
-    )
+    num, txt = F.lit(None).cast("double"), F.lit(None).cast("string")
+    make = lambda k, n=num, t=txt: F.struct(k.alias("kind"), n.alias("num"), t.alias("txt"))
+
+    def of(s: Column, d: Column) -> Column:
+        date = F.when(s.rlike(r"[ /-]") & ~s.contains(":"), canonical_date(s, formats))
+        number = F.regexp_replace(d, "_", "").try_cast("double")
+        endless = F.lower(F.regexp_replace(d, r"^[+-]", "")).isin("inf", "infinity")
+        return (
+            F.when(F.lower(d) == "nan", F.lit(None))
+            .when(d.rlike(INTEGER), make(F.lit("int"), number))
+            .when(d.rlike(FLOAT), make(F.lit("float"), number))
+            .when(endless, make(F.lit("float"), F.when(d.startswith("-"), float("-inf")).otherwise(float("inf"))))
+            .otherwise(let(date, lambda x: make(F.when(x.isNull(), "str").otherwise("date"), num, F.coalesce(x, s))))
+        )
+
+    # each step is a value of its own: written out in one another they would be worked out many times over
+    plain = F.btrim(F.trim(F.regexp_replace(F.translate(c, "−–—", "---"), '"', "")), F.lit(" \t\n\r\x0b\x0c"))
+    return F.when(c.isNull() | c.isin(*null_tokens), F.lit(None)).otherwise(let(plain, lambda s: let(F.regexp_replace(s, "[, ]", ""), lambda d: of(s, d))))
 
 
 def number(c: Column, kind: str = "float") -> Column:

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.values import f1, normalize_key, same, within
-from tabulon.operators.cells import cell
+from tabulon.functions.values import f1, normalize_key, number, same, typed, within
+from tabulon.operators.cells import NUMERIC
 
 SEPARATOR = "\x1f"
 
@@ -24,41 +24,52 @@ def first_by(df: DataFrame, by: list[str], order: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def align(fetched: DataFrame, reference: DataFrame, table: str, row: str, keys: list[str], columns: list[str], tolerant: list[str], absolute: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, fetched rows that count, reference): pairs has one row a matched key with its weight and a match flag a column.
+def align(fetched: DataFrame, reference: DataFrame, table: str, row: str, keys: list[str], columns: list[str], tolerant: list[str], absolute: bool = False) -> DataFrame:
+    """One row a (table, normalised key) of either side: its rows there (fetched_rows, ref_rows; null on one side only) and a match flag a column.
 
-    Fetched rows that repeat a raw key are dropped but for the first, as are rows with a null key. Keys are
-    then normalised on both sides; every remaining fetched row with a key of the reference counts, but
-    values are always those of the first row of that normalised key on either side. Key cells count as
-    matches. Tables meet by (table, normalised key), so that many small tables share one shuffle.
+    Fetched rows that repeat a raw key count once, rows with a null key don't. Every remaining fetched row with a key
+    of the reference counts, but values are always those of the first row of that normalised key on either side. Key
+    cells count as matches. Fetched rows are reduced by raw key, then by normalised key, each with partial aggregates
+    before the shuffle, and the reference once; the sides meet as they are then partitioned. Cells are compared as
+    they stand and typed only where they differ.
     """
     not_null = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    counted = _keyed(first_by(fetched, [table, *keys], row).where(not_null), keys)
-    ref = _keyed(reference, keys)
-    pick = lambda df, side: df.select(table, "_key", F.col(row).alias("_row"), F.struct(*(cell(df, c).alias(c) for c in columns)).alias(side))
-    f0 = pick(counted, "f").groupBy(table, "_key").agg(F.min_by("f", "_row").alias("f"), F.count("*").alias("weight"))
-    r0 = pick(ref, "r").groupBy(table, "_key").agg(F.min_by("r", "_row").alias("r"))
-    met = f0.join(r0, [table, "_key"])
+    values = lambda names: F.struct(*(F.col(c) for c in names))
+    rest = [c for c in columns if c not in keys]
+    raw = fetched.where(not_null).groupBy(table, *keys).agg(F.min(row).alias("_row"), F.min_by(values(rest), row).alias("f"))
+    f0 = _keyed(raw, keys).groupBy(table, "_key").agg(F.min_by("f", "_row").alias("f"), F.count("*").alias("fetched_rows"))
+    r0 = _keyed(reference, keys).groupBy(table, "_key").agg(F.min_by(values(rest), row).alias("r"), F.count("*").alias("ref_rows"))
+    met = f0.join(r0, [table, "_key"], "full")
+
+    def cell(df: DataFrame, side: str, c: str) -> Column:
+        kind = df.schema[c].dataType.simpleString()
+        v = F.col(side)[c]
+        return number(v, "int" if kind in NUMERIC[:4] else "float") if kind.split("(")[0] in NUMERIC else typed(v.cast("string"))
 
     def match(c: str) -> Column:
+        both = F.col("fetched_rows").isNotNull() & F.col("ref_rows").isNotNull()
         if c in keys:
-            return F.lit(1)
-        a, b = F.col("f")[c], F.col("r")[c]
+            return both.cast("int")
+        a, b = cell(fetched, "f", c), cell(reference, "r", c)
         ok = same(a, b)
         if c in tolerant:
             ok = ok | F.coalesce(within(b["num"], a["num"], absolute), F.lit(False))
-        return ok.cast("int")
+        if fetched.schema[c].dataType == reference.schema[c].dataType:
+            ok = F.col("f")[c].eqNullSafe(F.col("r")[c]) | ok
+        return F.when(both, ok).otherwise(False).cast("int")
 
-    return met.select(table, "_key", "weight", *(match(c).alias(c) for c in columns)), counted, ref
+    return met.select(table, "_key", "fetched_rows", "ref_rows", *(match(c).alias(c) for c in columns))
 
 
 def column_matches(fetched: DataFrame, reference: DataFrame, table: str, row: str, keys: list[str], columns: list[str], tolerant: list[str], absolute: bool = False) -> DataFrame:
-    """A row a table: key_matches, the matches of each column (m_<column>), and both row counts."""
-    pairs, counted, ref = align(fetched, reference, table, row, keys, columns, tolerant, absolute)
-    hits = pairs.groupBy(table).agg(F.sum("weight").alias("key_matches"), *(F.sum(F.col(c) * F.col("weight")).alias(f"m_{c}") for c in columns))
-    out = ref.groupBy(table).agg(F.count("*").alias("ref_rows")).join(counted.groupBy(table).agg(F.count("*").alias("fetched_rows")), table, "left").join(hits, table, "left")
-    zero = [c for c in out.columns if c not in (table, "ref_rows")]
-    return out.fillna(0, zero)
+    """A row a table of the reference: key_matches, the matches of each column (m_<column>), and both row counts."""
+    pairs = align(fetched, reference, table, row, keys, columns, tolerant, absolute)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    weight = F.when(F.col("ref_rows").isNotNull(), F.col("fetched_rows"))
+    out = pairs.groupBy(table).agg(
+        total("ref_rows").alias("ref_rows"), total("fetched_rows").alias("fetched_rows"), total(weight).alias("key_matches"), *(total(F.col(c) * F.col("fetched_rows")).alias(f"m_{c}") for c in columns)
+    )
+    return out.where("ref_rows > 0")
 
 
 def table_scores(matches: DataFrame, table: str, keys: list[str], columns: list[str]) -> DataFrame:
@@ -93,6 +104,10 @@ def dtype_scores(scores: DataFrame, table: str) -> DataFrame:
 
 
 def with_grand_mean(scores: DataFrame, table: str, metrics: list[str], digits: int = 4) -> DataFrame:
-    """Rounded scores and a last row ``All`` with their means over tables that have every metric."""
+    """Rounded scores and a row ``All`` with their means over tables that have every metric; no rows without such a table.
+
+    One pass: the mean of a single table's score is that score.
+    """
     rounded = scores.dropna(subset=metrics).select(F.col(table).cast("string").alias(table), *(F.round(m, digits).alias(m) for m in metrics))
-    return rounded.unionByName(rounded.agg(*(F.round(F.avg(m), digits).alias(m) for m in metrics)).withColumn(table, F.lit("All")))
+    means = rounded.rollup(table).agg(F.grouping(table).alias("_all"), *(F.round(F.avg(m), digits).alias(m) for m in metrics))
+    return means.withColumn(table, F.when(F.col("_all") == 1, "All").otherwise(F.col(table))).drop("_all")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.config import STYLE_MARK, Rules
-from tabulon.functions.values import tidy, typed
+from tabulon.functions.values import let, tidy, typed
 
 
 def blacklisted(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -63,13 +63,13 @@ def header_text(c: Column, rules: Rules = Rules()) -> Column:
 
 def clean(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Cells with v, their typed value after notes in parentheses and brackets are gone."""
-    raw = tidy(F.col("raw"))
-    if rules.strip_cell_parentheses:
-        raw = without_parentheses(raw)
-    if rules.strip_cell_brackets:
-        raw = without_brackets(raw)
+    steps = [without_parentheses] * rules.strip_cell_parentheses + [without_brackets] * rules.strip_cell_brackets
+
+    def cleaned(c: Column, rest: list) -> Column:
+        return let(rest[0](c), lambda x: cleaned(x, rest[1:])) if rest else typed(c, rules.null_tokens, rules.date_formats)
+
     # null tokens count before trimming as well as after cleaning
-    v = F.when(F.col("raw").isin(*rules.null_tokens), F.lit(None)).otherwise(typed(raw, rules.null_tokens, rules.date_formats))
+    v = F.when(F.col("raw").isin(*rules.null_tokens), F.lit(None)).otherwise(let(tidy(F.col("raw")), lambda x: cleaned(x, steps)))
     return cells.withColumn("v", v)
 
 
@@ -77,12 +77,20 @@ def is_number(v: Column) -> Column:
     return v["num"].isNotNull()
 
 
+def type_counts(cells: DataFrame) -> DataFrame:
+    """table_id, col_idx, numbers, texts of every column."""
+    return cells.groupBy("table_id", "col_idx").agg(F.count_if(is_number(F.col("v"))).alias("numbers"), F.count_if(F.col("v").isNotNull() & ~is_number(F.col("v"))).alias("texts"))
+
+
+def is_mixed(numbers: Column, texts: Column, mode: str = "abs", value: float = 3) -> Column:
+    """Whether a column mixes numbers and texts. percent: fewer over more, where none counts as one."""
+    fewer, more = F.least(numbers, texts), F.greatest(numbers, texts)
+    return fewer >= value if mode == "abs" else F.coalesce(F.try_divide(F.greatest(fewer, F.lit(1)), more) >= value, F.lit(False))
+
+
 def mixed_columns(cells: DataFrame, mode: str = "abs", value: float = 3) -> DataFrame:
-    """table_id, col_idx, numbers, texts of columns that mix both. percent: fewer over more, where none counts as one."""
-    by = cells.groupBy("table_id", "col_idx").agg(F.count_if(is_number(F.col("v"))).alias("numbers"), F.count_if(F.col("v").isNotNull() & ~is_number(F.col("v"))).alias("texts"))
-    fewer, more = F.least("numbers", "texts"), F.greatest("numbers", "texts")
-    bad = fewer >= value if mode == "abs" else F.coalesce(F.try_divide(F.greatest(fewer, F.lit(1)), more) >= value, F.lit(False))
-    return by.where(bad)
+    """table_id, col_idx, numbers, texts of columns that mix both."""
+    return type_counts(cells).where(is_mixed(F.col("numbers"), F.col("texts"), mode, value))
 
 
 def drop_bad_columns(cells: DataFrame, bad: DataFrame, rules: Rules = Rules(), mode: str = "percent") -> DataFrame:
@@ -104,17 +112,24 @@ def null_rows(cells: DataFrame, mode: str = "percent", value: float = 0.8) -> Da
 
 
 def aggregate_rows(cells: DataFrame) -> DataFrame:
-    """table_id, row_idx of last rows that hold a text or nothing where, in the first or the last column, all rows before hold numbers."""
-    edges = cells.groupBy("table_id").agg(F.max("row_idx").alias("last_row"), F.min("col_idx").alias("first_col"), F.max("col_idx").alias("last_col"))
-    at = cells.join(edges, "table_id").where((F.col("col_idx") == F.col("first_col")) | (F.col("col_idx") == F.col("last_col")))
-    before = F.col("row_idx") < F.col("last_row")
-    by = at.groupBy("table_id", "col_idx", "last_row").agg(
-        F.count_if(before).alias("n"),
-        F.count_if(before & F.col("v").isNotNull() & ~is_number(F.col("v"))).alias("texts"),
-        F.count_if(before & is_number(F.col("v"))).alias("numbers"),
-        F.count_if(~before & is_number(F.col("v"))).alias("last_number"),
-    )
-    return by.where("n > 0 and numbers > 0 and texts = 0 and last_number = 0").select("table_id", F.col("last_row").alias("row_idx")).distinct()
+    """table_id, row_idx of last rows that hold a text or nothing where, in the first or the last column, all rows before hold numbers.
+
+    Cells are reduced to columns, columns to tables; a table needs its outer columns and its last row only.
+    """
+    number, text = is_number(F.col("v")), F.col("v").isNotNull() & ~is_number(F.col("v"))
+    flags = F.when(number, 1).when(text, 2).otherwise(0)
+    by = cells.groupBy("table_id", "col_idx").agg(
+        F.count("*").alias("n"), F.count_if(number).alias("numbers"), F.count_if(text).alias("texts"), F.max("row_idx").alias("row"), F.max_by(flags, "row_idx").alias("end")
+    )
+    column = F.struct("n", "numbers", "texts", "row", "end")
+    table = by.groupBy("table_id").agg(F.max("row").alias("row_idx"), F.min_by(column, "col_idx").alias("a"), F.max_by(column, "col_idx").alias("z"))
+
+    def total(c: Column) -> Column:
+        here = (c["row"] == F.col("row_idx")).cast("int")  # a column may have no cell in the last row
+        number, text = here * (c["end"] == 1).cast("int"), here * (c["end"] == 2).cast("int")
+        return (c["n"] - here > 0) & (c["numbers"] - number > 0) & (c["texts"] - text == 0) & (number == 0)
+
+    return table.where(total(F.col("a")) | total(F.col("z"))).select("table_id", "row_idx")
 
 
 def year_columns(cells: DataFrame) -> DataFrame:
@@ -167,8 +182,7 @@ def curate(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
     cells = clean(cells, rules)
     number, text = F.count_if(is_number(v)).over(column), F.count_if(v.isNotNull() & ~is_number(v)).over(column)
     cells = cells.withColumns({"_n": number, "_t": text})
-    fewer, more = F.least("_n", "_t"), F.greatest("_n", "_t")
-    mixed = fewer >= rules.mixed_value if rules.mixed_mode == "abs" else F.coalesce(F.try_divide(F.greatest(fewer, F.lit(1)), more) >= rules.mixed_value, F.lit(False))
+    mixed = is_mixed(F.col("_n"), F.col("_t"), rules.mixed_mode, rules.mixed_value)
     cells = _without(cells.withColumn("_bad", mixed), rules.drop_table_with_column, table)
 
     cells = cells.withColumn("col_name", header_text(name, rules))

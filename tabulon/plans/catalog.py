@@ -294,10 +294,8 @@ def mixed_cells(spark, sf_dir) -> DataFrame:
 SELECT table_id, numbers, texts, least(numbers, texts) >= 3 AS by_count, coalesce(greatest(least(numbers, texts), 1)::DOUBLE / nullif(greatest(numbers, texts), 0) >= 0.5, false) AS by_share FROM s
 WHERE least(numbers, texts) >= 3 OR coalesce(greatest(least(numbers, texts), 1)::DOUBLE / nullif(greatest(numbers, texts), 0) >= 0.5, false)""")
 def rule_mixed_types(spark, sf_dir):
-    c = mixed_cells(spark, sf_dir)
-    by = lambda mode, value, name: U.mixed_columns(c, mode, value).select("table_id", "numbers", "texts", F.lit(True).alias(name))
-    both = by("abs", 3, "by_count").join(by("percent", 0.5, "by_share"), ["table_id", "numbers", "texts"], "full")
-    return both.fillna(False, ["by_count", "by_share"])
+    c, pair = U.type_counts(mixed_cells(spark, sf_dir)), (F.col("numbers"), F.col("texts"))
+    return c.select("table_id", *pair, U.is_mixed(*pair, "abs", 3).alias("by_count"), U.is_mixed(*pair, "percent", 0.5).alias("by_share")).where("by_count or by_share")
 
 
 NULLS_SQL = "SELECT l_orderkey AS t, l_linenumber AS r, nullif(l_discount, 0) AS a, nullif(l_tax, 0) AS b, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_quantity END AS c FROM lineitem"
@@ -375,15 +373,14 @@ _DUCK_FORMATS = [("^[0-9]{1,2} [A-Za-z]{3}$", "%d %b"), ("^[0-9]{1,2} [A-Za-z]+$
 _DUCK_CASE = lambda what: "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(raw, '{s}') AND try_strptime(raw, '{f}') IS NOT NULL THEN {what(f)} END" for s, f in _DUCK_FORMATS) + ")"
 
 
-@query(f"""WITH d AS (SELECT o_orderkey, CASE o_orderkey % {len(PRINTS)} {' '.join(f"WHEN {i} THEN strftime(o_orderdate, '{d}')" for i, (d, _) in enumerate(PRINTS))} END AS raw FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29))
+@query(f"""WITH d AS (SELECT o_orderkey, CASE o_orderkey % {len(PRINTS)} {' '.join(f"WHEN {i} THEN strftime(o_orderdate, '{d}')" for i, (d, _) in enumerate(PRINTS))} END AS raw FROM orders)
 SELECT o_orderkey, raw, {_DUCK_CASE(lambda f: f"'{f}'")} AS format, {_DUCK_CASE(lambda f: f"strftime(strptime(raw, '{f}'), '{f}')")} AS canonical FROM d""")
 def date_detect_canonical(spark, sf_dir):
     m = F.col("o_orderkey") % len(PRINTS)
     raw = F.lit(None).cast("string")
     for i, (_, p) in enumerate(PRINTS):
         raw = F.when(m == i, F.date_format("o_orderdate", p)).otherwise(raw)
-    o = read(spark, sf_dir, "orders").where(~((F.month("o_orderdate") == 2) & (F.dayofmonth("o_orderdate") == 29)))
-    return o.select("o_orderkey", raw.alias("raw"), V.date_format_of(raw).alias("format"), V.canonical_date(raw).alias("canonical"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"), V.date_format_of(raw).alias("format"), V.canonical_date(raw).alias("canonical"))
 
 
 KEYS_SQL = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN ' United States ' WHEN 1 THEN 'N/A' WHEN 2 THEN NULL WHEN 3 THEN 'A & B-' || source ELSE regexp_extract(text, '^[^.\\n]*') END AS raw FROM documents"""
