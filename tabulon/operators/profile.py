@@ -15,7 +15,8 @@ def profile(cells: DataFrame) -> DataFrame:
         F.max("v.txt").alias("max_t"), F.min("v.txt").alias("min_t"), F.count_distinct("v.txt").alias("d_t"),
     )
     as_number = F.col("numbers") >= F.col("texts")
-    text = lambda n, t: F.when(as_number, F.round(n, 4).cast("decimal(30,4)").cast("string")).otherwise(F.col(t))
+    digits = lambda n: F.coalesce(F.round(n, 4).try_cast("decimal(30,4)").cast("string"), F.col(n).cast("string"))  # noqa: E731  a number too large has its own digits
+    text = lambda n, t: F.when(as_number, digits(n)).otherwise(F.col(t))
     return by.select("table_id", "col_name", text("max_n", "max_t").alias("max_value"), text("min_n", "min_t").alias("min_value"), F.when(as_number, F.col("d_n")).otherwise(F.col("d_t")).alias("n_distinct"))
 
 
@@ -32,5 +33,10 @@ def seeded(df: DataFrame, by: list[str], order: Column, n: int | Column) -> Data
     return ranked.where(F.col("place") <= n)
 
 
+def sample_size(rows: Column) -> Column:
+    """Rows that a profile shows of a table: a third of them, five at most."""
+    return F.least(F.floor(rows / 3), F.lit(5))
+
+
 def profile_line(column: Column, largest: Column, least: Column, distinct: Column, sample: Column) -> Column:
     return F.format_string("`%s` - max value: %s, min value: %s, number of distinct values: %s, random sample data: [%s]. ", column, largest, least, distinct.cast("string"), F.array_join(sample, ", "))

@@ -213,6 +213,26 @@ def _without(cells: DataFrame, whole_table: bool, table) -> DataFrame:
     return cells.where("not _bad")
 
 
+def rejections(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """table_id, reason, columns (sorted names): the first rule for which ``curate`` drops each table that it drops whole."""
+    named = name_years(cells)
+    nameless = named.where(F.col("col_name").isNull() | F.col("col_name").contains("Unnamed:"))
+    named = drop_columns(named, blacklisted(named, rules))
+    typed_cells = clean(drop_rows(named, noise_rows(named)), rules)
+    found = nameless.select("table_id", F.lit(1).alias("step"), F.lit("nameless column").alias("reason"), F.coalesce("col_name", F.lit("")).alias("col_name"))
+    heads = typed_cells.select("table_id", "col_idx", "col_name").distinct()
+    if rules.drop_table_with_column:
+        mixed = mixed_columns(typed_cells, rules.mixed_mode, rules.mixed_value).join(heads, ["table_id", "col_idx"])
+        found = found.unionByName(mixed.select("table_id", F.lit(2).alias("step"), F.lit("mixed types").alias("reason"), "col_name"))
+        if rules.column_null_mode != "abs":
+            rows = drop_rows(typed_cells, aggregate_rows(typed_cells)) if rules.drop_last_aggregate_row else typed_cells
+            nulls = null_columns(rows, rules.column_null_mode, rules.column_null_value).join(heads, ["table_id", "col_idx"])
+            found = found.unionByName(nulls.select("table_id", F.lit(3).alias("step"), F.lit("too many nulls").alias("reason"), "col_name"))
+    by = found.groupBy("table_id", "step", "reason").agg(F.array_sort(F.collect_set("col_name")).alias("columns"))
+    first = by.groupBy("table_id").agg(F.min_by(F.struct("reason", "columns"), "step").alias("r"))
+    return first.select("table_id", "r.reason", "r.columns")
+
+
 def dates_of(cells: DataFrame) -> DataFrame:
     """table_id, col_name and the date format of its last date cell."""
     from tabulon.functions.values import date_format_of

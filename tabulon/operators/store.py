@@ -16,9 +16,13 @@ def keep_last(records: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return last.select(*keys, *(F.col("_r")[c].alias(c) for c in rest)).select(records.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new``, which replace rows of the same key."""
-    return old.join(new, keys, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``old`` with the rows of ``new``, which replace rows of the same key.
+
+    Of rows of ``new`` that share a key the last stays, by ``order`` or, without one, as the rows come.
+    """
+    last = keep_last(new, keys, order) if order else keep_last(new.withColumn("_at", F.monotonically_increasing_id()), keys, ["_at"]).drop("_at")
+    return old.join(last, keys, "left_anti").unionByName(last)
 
 
 def delete(records: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,6 +60,22 @@ def answered(prompts: DataFrame, responses: DataFrame, model: Callable[[str], st
     return upsert(responses.select("prompt_key", "response"), new, ["prompt_key"])
 
 
+def provider(model: str) -> str | None:
+    """Who serves a model, by its name; None for one that nobody is known to."""
+    return next((who for word, who in (("gemini", "gemini"), ("gpt", "openai")) if word in model), None)
+
+
+def routed(model: str, callables: dict[str, Callable[[str], str | None]]) -> Callable[[str], str | None]:
+    """The callable of a model's provider; a model without one answers nothing."""
+    return callables.get(provider(model) or "", lambda prompt: None)
+
+
+def offline(responses: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """The default responder: prompts are answered from a table of responses, and from nowhere else."""
+    known = responses.where(F.coalesce(F.length("response"), F.lit(0)) > 0).select("prompt_key", "response")
+    return lambda prompts: prompts.select("prompt_key").join(known, "prompt_key").select("prompt_key", "response")
+
+
 def overlay(base: str, over: str):
     """The union of two maps; the second wins."""
     b, o = F.col(base), F.col(over)

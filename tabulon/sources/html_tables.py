@@ -97,9 +97,14 @@ def own_rows(table: Element) -> list[tuple[Element, bool]]:
     return out
 
 
-def _span(value: str | None) -> int:
+def _span(value: str | None, most: int | None = None) -> int:
     m = re.match(r"\s*(\d+)", value or "")
-    return max(1, min(int(m[1]), 1000)) if m else 1
+    n = max(1, int(m[1])) if m else 1
+    return n if most is None else min(n, most)
+
+
+#: The HTML standard's bound of a column span: a larger one stands for it. Row spans end with their table's rows.
+COLUMN_SPAN = 1000
 
 
 def grid(table: Element) -> tuple[list[list[str]], int]:
@@ -125,9 +130,10 @@ def grid(table: Element) -> tuple[list[list[str]], int]:
         for cell in cells:
             carry()
             text = " ".join(cell.text("table").replace("\xa0", "\x00").split()).replace("\x00", "\xa0")
-            for _ in range(_span(cell.attrs.get("colspan"))):
+            down = _span(cell.attrs.get("rowspan"))
+            for _ in range(_span(cell.attrs.get("colspan"), COLUMN_SPAN)):
                 row.append(text)
-                if (down := _span(cell.attrs.get("rowspan"))) > 1:
+                if down > 1:
                     later[at] = (text, down - 1)
                 at += 1
         carry()
@@ -147,23 +153,17 @@ def grid(table: Element) -> tuple[list[list[str]], int]:
     return rows, depth
 
 
-def paragraph_before(table: Element) -> str | None:
-    """The text of the paragraphs before a table, back to the nearest ``div`` in document order; null without any."""
-    order: list[Element] = []
-    root = table
-    while root.parent is not None:
-        root = root.parent
+def wanted_tables(root: Element, css_class: str) -> list[tuple[Element, str | None]]:
+    """The tables of a class, each with the text of the paragraphs before it, back to the nearest ``div`` in document order (null without any)."""
+    found, before = [], []
     for node in root.walk():
-        if node is table:
-            break
-        order.append(node)
-    found = []
-    for node in reversed(order):
         if node.tag == "div":
-            break
-        if node.tag == "p":
-            found.append(node.text().strip())
-    return "\n".join(reversed(found)) if found else None
+            before = []
+        elif node.tag == "p":
+            before.append(node)
+        elif node.tag == "table" and css_class in node.attrs.get("class", ""):
+            found.append((node, "\n".join(p.text().strip() for p in before) if before else None))
+    return found
 
 
 @udtf(returnType="dom_idx int, paragraph string, header_depth int, header array<string>, row_idx int, values array<string>")
@@ -173,10 +173,8 @@ class HtmlTables:
     def eval(self, html: str, css_class: str):
         if not html:
             return
-        wanted = [t for t in parse(html).walk() if t.tag == "table" and css_class in t.attrs.get("class", "")]
-        for i, table in enumerate(wanted):
+        for i, (table, paragraph) in enumerate(wanted_tables(parse(html), css_class)):
             rows, depth = grid(table)
-            paragraph = paragraph_before(table)
             width = len(rows[0]) if rows else 0
             if not depth:
                 header = [str(k) for k in range(width)]
@@ -200,7 +198,7 @@ def table_rows(pages: DataFrame, css_class: str = "wikitable") -> DataFrame:
     spark = pages.sparkSession
     spark.udtf.register("tabulon_html_tables", HtmlTables)
     pages.createOrReplaceTempView("_tabulon_pages")
-    return spark.sql(f"SELECT p.page_id, p.url, t.* FROM _tabulon_pages p, LATERAL tabulon_html_tables(p.html, '{css_class}') t")
+    return spark.sql("SELECT p.page_id, p.url, t.* FROM _tabulon_pages p, LATERAL tabulon_html_tables(p.html, :css_class) t", args={"css_class": css_class})
 
 
 def cells(rows: DataFrame) -> DataFrame:

@@ -23,10 +23,10 @@ def export_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> No
 
 def table_csvs(cells: DataFrame, path: str) -> None:
     """One folder of CSV lines a table: header first. Rows are built from cells, so tables may differ in shape."""
-    text = F.coalesce(F.when(F.col("raw").rlike('[",\n]'), F.concat(F.lit('"'), F.replace(F.col("raw"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("raw")), F.lit(""))
+    quoted = lambda c: F.coalesce(F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c), F.lit(""))
     line = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", c.alias("t")))), lambda s: s["t"]), ",")
-    body = cells.groupBy("table_id", "row_idx").agg(line(text).alias("line"))
-    head = cells.select("table_id", "col_idx", "col_name").distinct().groupBy("table_id").agg(line(F.col("col_name")).alias("line")).select("table_id", F.lit(-1).alias("row_idx"), "line")
+    body = cells.groupBy("table_id", "row_idx").agg(line(quoted(F.col("raw"))).alias("line"))
+    head = cells.select("table_id", "col_idx", "col_name").distinct().groupBy("table_id").agg(line(quoted(F.col("col_name"))).alias("line")).select("table_id", F.lit(-1).alias("row_idx"), "line")
     lines = head.unionByName(body).repartition("table_id").sortWithinPartitions("table_id", "row_idx")
     lines.select("table_id", "line").write.mode("overwrite").partitionBy("table_id").text(path)
 

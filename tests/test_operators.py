@@ -151,3 +151,33 @@ def test_pivot_returns_what_unpivot_took(spark):
     t = table(spark, [("x", 1.5, 2.0), ("y", None, 3.0)])
     back = C.pivot(C.unpivot(t, "table_id", "row_idx", ["k", "a"]), ["k", "a"]).orderBy("row_idx").collect()
     assert [(r["k"], r["a"]) for r in back] == [("x", "1.5"), ("y", None)]
+
+
+def test_a_profile_of_large_numbers(spark):
+    from tabulon.operators import profile as P
+
+    got = P.profile(C.unpivot(table(spark, [("x", 1e30, 2.0), ("y", 1.0, 3.0)]), "table_id", "row_idx", ["a", "b"])).collect()
+    assert {r["col_name"]: (r["max_value"], r["min_value"]) for r in got} == {"a": ("1.0E30", "1.0000"), "b": ("3.0000", "2.0000")}
+
+
+def test_the_last_of_repeated_new_records_stays(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "key string, v int")
+    new = spark.createDataFrame([("b", 2), ("b", 3), ("c", 9), ("c", 4)], "key string, v int").coalesce(1)
+    assert sorted(map(tuple, S.upsert(old, new, ["key"]).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    assert sorted(map(tuple, S.upsert(old, new, ["key"], ["v"]).collect())) == [("a", 1), ("b", 3), ("c", 9)]
+
+
+def test_models_are_routed_by_name(spark):
+    assert [S.provider(m) for m in ("gpt-4.1", "gemini-2.5-pro", "other")] == ["openai", "gemini", None]
+    assert S.routed("gpt-x", {"openai": str.upper})("a") == "A" and S.routed("other", {"openai": str.upper})("a") is None
+
+
+def test_rejections_name_the_rule_and_its_columns(spark):
+    mixed = cells(spark, [[str(i), f"t{i}" if i % 2 else str(100 + i)] for i in range(9)], ["a", "b"], "mixed")
+    nulls = cells(spark, [[str(i), "-" if i % 2 else "x"] for i in range(9)], ["a", "b"], "nulls")
+    nameless = cells(spark, [["x", "y"]] * 2 + [["z", "w"]], ["Unnamed: 0", "b"], "nameless")
+    good = cells(spark, [[str(i), f"t{i}"] for i in range(9)], ["a", "b"], "good")
+    every = mixed.union(nulls).union(nameless).union(good)
+    got = {r["table_id"]: (r["reason"], r["columns"]) for r in U.rejections(every).collect()}
+    assert got == {"mixed": ("mixed types", ["b"]), "nulls": ("too many nulls", ["b"]), "nameless": ("nameless column", ["Unnamed: 0"])}
+    assert {r["table_id"] for r in U.curate(every).select("table_id").distinct().collect()} == {"good"}

@@ -58,9 +58,39 @@ def test_csv_tables_of_different_shape(spark, tmp_path):
     assert sorted(tuple(r) for r in back.collect() if r["table_id"] == "a") == [("a", 0, 0, "x", "1"), ("a", 0, 1, "y", 'q"u,o')]
 
 
-def test_ragged_replies_are_skipped(spark):
-    d = spark.createDataFrame([("a", '"x"|1\ny|"2"', 2), ("b", "x|1\ny", 2)], "k string, reply string, n int")
-    assert [(r["k"], r["values"]) for r in readers.reply_rows(d, "k", "reply", "n").orderBy("row_idx").collect()] == [("a", ["x", "1"]), ("a", ["y", "2"])]
+def test_short_lines_are_filled_and_long_ones_void_a_reply(spark):
+    d = spark.createDataFrame([("a", '"x"|1\ny|"2"', 2), ("b", "x|1|z\ny", 2), ("c", "x", 2)], "k string, reply string, n int")
+    got = readers.reply_rows(d, "k", "reply", "n").orderBy("k", "row_idx").collect()
+    assert [(r["k"], r["values"]) for r in got] == [("a", ["x", "1"]), ("a", ["y", "2"]), ("c", ["x", None])]
+
+
+def test_csv_keeps_line_breaks_and_quoted_names(spark, tmp_path):
+    rows = [("a", 0, 0, "x,1", "one\ntwo"), ("a", 0, 1, 'y"q', "p" * 20000), ("a", 1, 0, "x,1", None), ("a", 1, 1, 'y"q', "3")]
+    writers.table_csvs(spark.createDataFrame(rows, "table_id string, row_idx int, col_idx int, col_name string, raw string"), str(tmp_path / "out"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("".join(p.read_text() for p in (tmp_path / "out" / "table_id=a").glob("*.txt")))
+    back = readers.csv_cells(spark, str(tmp_path / "in"))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    assert {(r["col_name"], r["dtype"]) for r in readers.column_types(back).collect()} == {("x,1", "object"), ('y"q', "object")}
+
+
+def test_column_types(spark):
+    rows = [("t", i, j, "abc"[j], v) for i, r in enumerate([("1", "1.5", "x"), ("-2", None, "3"), ("+3", "2", None)]) for j, v in enumerate(r)]
+    got = readers.column_types(spark.createDataFrame(rows, "table_id string, row_idx int, col_idx int, col_name string, raw string")).collect()
+    assert {r["col_name"]: r["dtype"] for r in got} == {"a": "int64", "b": "float64", "c": "object"}
+
+
+def test_page_info_has_nulls_for_missing_pages(spark, tmp_path):
+    (tmp_path / "i.json").write_text(json.dumps({"query": {"pages": {"7": {"pageid": 7, "title": "T", "editurl": "u?title=T&action=edit"}, "-1": {"title": "gone", "missing": ""}}}}))
+    got = {r["page_id"]: (r["title"], r["edit_url"]) for r in readers.page_info(spark, str(tmp_path / "i.json")).collect()}
+    assert got == {7: ("T", "u?title=T&action=edit"), -1: (None, None)}
+
+
+def test_long_row_spans_reach_the_last_row(spark):
+    html = "<table class=wikitable><tr><th>a<th>b</tr><tr><td rowspan=5000>x<td>0</tr>" + "".join(f"<tr><td>{i}</tr>" for i in range(1, 1500)) + "</table>"
+    got = rows(spark, html)
+    assert len(got) == 1500 and all(r["values"] == ["x", str(r["row_idx"])] for r in got)
+    assert T.table_rows(spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string"), "o'x").count() == 0
 
 
 def test_upserted_records(spark, tmp_path):
@@ -85,4 +115,12 @@ def test_stream_answers_each_prompt_once(spark, tmp_path):
         running.processAllAvailable()
     finally:
         running.stop()
-    assert sorted((r["prompt_key"], r["response"]) for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [("k1", "P"), ("k2", "Q")]
+    stored = lambda: sorted((r["prompt_key"], r["response"]) for r in spark.read.parquet(str(tmp_path / "store")).collect())
+    assert stored() == [("k1", "P"), ("k2", "Q")]
+    spark.createDataFrame([("k1", "other"), ("k3", "r")], "prompt_key string, prompt string").write.mode("append").parquet(str(tmp_path / "in"))
+    running = answer_stream(stream, lambda text: text.upper(), str(tmp_path / "store"), str(tmp_path / "ckpt"), "1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert stored() == [("k1", "P"), ("k2", "Q"), ("k3", "R")]

@@ -71,6 +71,9 @@ def test_settings_from_yaml(tmp_path):
     path = tmp_path / "r.yaml"
     path.write_text("min_rows: 3\nnull_tokens: [x, y]\n")
     assert Rules.from_yaml(str(path)).min_rows == 3 and Rules.from_yaml(str(path)).null_tokens == ("x", "y")
+    path.write_text("minimum_table_size:\n  rows: 4\n  columns: 3\nnull_chars: ['-', '-', x]\nmaximum_mixed_types:\n  type: percent\n  value: 0.2\nspecial_chars:\n  link_char: 'x'\ncell_manipulations:\n  remove_data_inside_parentheses: false\n")
+    got = Rules.from_yaml(str(path))
+    assert (got.min_rows, got.min_columns, got.null_tokens, got.mixed_mode, got.mixed_value, got.strip_cell_parentheses) == (4, 3, ("-", "x"), "percent", 0.2, False)
     path.write_text("nonsense: 1\n")
     with pytest.raises(ValueError):
         Rules.from_yaml(str(path))
