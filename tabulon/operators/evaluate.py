@@ -72,23 +72,61 @@ def column_matches(fetched: DataFrame, reference: DataFrame, table: str, row: st
     return out.where("ref_rows > 0")
 
 
+def metrics(ref: Column, got: Column, key: Column, total: Column, nk: Column | int, nc: Column | int) -> dict[str, Column]:
+    """The ten metrics from a table's rows, fetched rows, key matches and all matches, key columns and columns. A ratio with nothing below it is null."""
+    div = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    rest = total - key * nk
+    out = {
+        "key_recall": div(key, ref), "key_precision": div(key, got), "non_key_recall": div(rest, ref * (nc - nk)), "non_key_precision": div(rest, got * (nc - nk)),
+        "recall": div(total, ref * nc), "precision": div(total, got * nc), "relative_non_key_accuracy": div(rest, key * (nc - nk)),
+    }
+    return {**out, **{f"{k}f1_score": f1(out[f"{k}precision"], out[f"{k}recall"]) for k in ("key_", "non_key_", "")}}
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in columns.items()]
+
+
 def table_scores(matches: DataFrame, table: str, keys: list[str], columns: list[str]) -> DataFrame:
     """The ten metrics of each table. A ratio with nothing below it is null; the table stays."""
-    nk, nc = len(keys), len(columns)
     total = reduce(lambda a, b: a + b, (F.col(f"m_{c}") for c in columns))
-    div = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
-    ref, got, key = F.col("ref_rows"), F.col("fetched_rows"), F.col("key_matches")
-    rest = total - key * nk
-    out = matches.select(
-        table,
-        div(key, ref).alias("key_recall"), div(key, got).alias("key_precision"),
-        div(rest, ref * (nc - nk)).alias("non_key_recall"), div(rest, got * (nc - nk)).alias("non_key_precision"),
-        div(total, ref * nc).alias("recall"), div(total, got * nc).alias("precision"),
-        div(rest, key * (nc - nk)).alias("relative_non_key_accuracy"),
-    )
-    for kind in ("key_", "non_key_", ""):
-        out = out.withColumn(f"{kind}f1_score", f1(F.col(f"{kind}precision"), F.col(f"{kind}recall")))
-    return out
+    return matches.select(table, *_named(metrics(F.col("ref_rows"), F.col("fetched_rows"), F.col("key_matches"), total, len(keys), len(columns))))
+
+
+def cell_matches(fetched: DataFrame, reference: DataFrame, columns: DataFrame, absolute: bool = False) -> DataFrame:
+    """table_id, col_name, dtype, is_key, hits, ref_rows, fetched_rows, key_matches: ``column_matches`` for cells of tables of any shape.
+
+    ``columns`` is table_id, col_name, dtype, is_key (one column a table), tolerant. Only the first row of each key on
+    either side meets the other's cells; each join is by table and row, or table and key.
+    """
+    text = F.coalesce("v.txt", F.col("v.num").cast("string"))
+    key = columns.where("is_key").select("table_id", "col_name")
+    keys = lambda cells: cells.join(key, ["table_id", "col_name"]).where("v is not null").select("table_id", "row_idx", text.alias("raw"))
+    normal = normalize_key(F.col("raw")).alias("_key")
+    got = keys(fetched).groupBy("table_id", "raw").agg(F.min("row_idx").alias("row")).groupBy("table_id", normal).agg(F.min("row").alias("f_row"), F.count("*").alias("weight"))
+    ref = keys(reference).groupBy("table_id", normal).agg(F.min("row_idx").alias("r_row"))
+    met = got.join(ref, ["table_id", "_key"])
+    cell = lambda cells, row, name: cells.select("table_id", F.col("row_idx").alias(row), "col_name", F.col("v").alias(name))
+    pairs = met.join(cell(reference, "r_row", "r"), ["table_id", "r_row"]).join(cell(fetched, "f_row", "f"), ["table_id", "f_row", "col_name"], "left").join(columns, ["table_id", "col_name"])
+    close = F.col("tolerant") & F.coalesce(within(F.col("r.num"), F.col("f.num"), absolute), F.lit(False))
+    hit = F.col("is_key") | same(F.col("f"), F.col("r")) | close
+    hits = pairs.groupBy("table_id", "col_name").agg(F.sum(F.when(hit, F.col("weight")).otherwise(0)).alias("hits"))
+    rows = reference.groupBy("table_id").agg(F.count_distinct("row_idx").alias("ref_rows"))
+    sides = got.groupBy("table_id").agg(F.sum("weight").alias("fetched_rows")).join(met.groupBy("table_id").agg(F.sum("weight").alias("key_matches")), "table_id", "left")
+    out = columns.drop("tolerant").join(rows, "table_id").join(sides, "table_id", "left").join(hits, ["table_id", "col_name"], "left")
+    return out.fillna(0, ["hits", "fetched_rows", "key_matches"])
+
+
+def record_scores(matches: DataFrame) -> DataFrame:
+    """The ten metrics of each table from ``cell_matches``."""
+    by = matches.groupBy("table_id").agg(F.first("ref_rows").alias("r"), F.first("fetched_rows").alias("g"), F.first("key_matches").alias("k"), F.sum("hits").alias("t"), F.count("*").alias("nc"))
+    return by.select("table_id", *_named(metrics(F.col("r"), F.col("g"), F.col("k"), F.col("t"), 1, F.col("nc"))))
+
+
+def record_column_scores(matches: DataFrame) -> DataFrame:
+    """table_id, col_name, dtype, recall, precision, f1_score from ``cell_matches``."""
+    rows = matches.select("table_id", "col_name", "dtype", F.try_divide(F.col("hits").cast("double"), "ref_rows").alias("recall"), F.try_divide(F.col("hits").cast("double"), "fetched_rows").alias("precision"))
+    return rows.withColumn("f1_score", f1(F.col("precision"), F.col("recall")))
 
 
 def column_scores(matches: DataFrame, table: str, columns: dict[str, str]) -> DataFrame:

@@ -37,6 +37,11 @@ def consistency(old_headers: DataFrame, new_headers: DataFrame, diff: DataFrame,
     return met.select(table, status.alias("status"))
 
 
+def consistent(statuses: DataFrame, table: str) -> DataFrame:
+    """The tables whose old and new snapshot match."""
+    return statuses.where("status = 'match'").select(table)
+
+
 def article_details(revisions: DataFrame, views: DataFrame, page: str) -> DataFrame:
     """page, first_changed (a date), num_of_changes, popularity (mean views, cut to an integer)."""
     changes = revisions.groupBy(page).agg(F.substring(F.min("ts").cast("string"), 1, 10).alias("first_changed"), F.count("*").alias("num_of_changes"))

@@ -14,6 +14,11 @@ TEMPLATES = {
     "min": "Over the whole table, which '{key_column}' has the smallest '{column}' {provided_keys}?",
     "wrapper": "About the table '{table_title}': {question} Answer with the value only.",
     "context": "About the table '{table_title}' on {url}: {question} Answer with the value only.",
+    "title": "An article is named '{article}'. Its table has these columns:\n{data_sample}\nDescribe the table in one sentence that doesn't list the columns.",
+    "key": "An article is named '{article}', its table: {table_title}. Some rows: {data_sample}. Of these columns ({columns}) which names the row? Answer as Key: 'column'.",
+    "table": "List {table_title}: every row that you know, {n_fields} fields each: {columns}. Answer with lines of this form only:\n{response_format}",
+    "table_example": "List {table_title}: every row that you know, {n_fields} fields each: {columns}. The first row is {example_row}. Answer with lines of this form only:\n{response_format}",
+    "rephrased": "{rephrase}\nAnswer with the value only.",
     "rephrase": "About the table '{table_title}' on {url}: say in other words, with the same meaning: {question} The answer is '{answer}'.",
 }
 
@@ -33,6 +38,40 @@ def fill(template: str, **slots: Column | str) -> Column:
     return F.concat(*out)
 
 
+def load_templates(path: str, names: dict[str, str] | None = None) -> dict[str, str]:
+    """TEMPLATES with those of a YAML mapping of text by name; ``names`` says which of ours a file's name stands for."""
+    import yaml
+
+    with open(path) as f:
+        found = yaml.safe_load(f) or {}
+    return {**TEMPLATES, **{(names or {}).get(k, k): v.strip() for k, v in found.items()}}
+
+
+def response_format(names: Column) -> Column:
+    """How a line of a reply looks: each column's name in its place."""
+    return F.array_join(F.transform(names, lambda n: F.concat(F.lit('"<'), n, F.lit('>"'))), "|")
+
+
+def provided_keys(keys: Column) -> Column:
+    """The keys of a table as a prompt lists them."""
+    return F.concat(F.lit("("), F.array_join(keys, ", "), F.lit(")"))
+
+
+def known_columns(columns: Column, known: Column, key: Column) -> Column:
+    """The columns but the key and Total that a table shares with what is known of it; a table without one isn't asked about."""
+    return F.array_intersect(F.array_except(columns, F.array(key, F.lit("Total"))), known)
+
+
+def index_set(*lists: Column) -> Column:
+    """The rows of several lists, each once, sorted."""
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*lists))))
+
+
+def capped(tables: DataFrame, order: str, n: int = 350) -> DataFrame:
+    """The tables that a run looks at: the first n, before any test of them."""
+    return tables.orderBy(order).limit(n)
+
+
 def usable_name(name: Column) -> Column:
     return (F.length(name) > 1) & ~name.rlike(r"^\d+$")
 

@@ -47,3 +47,15 @@ def histogram(df: DataFrame, value: str, limit: float, bins: int = 10) -> DataFr
     span = clipped.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1))).otherwise(0)
     return clipped.join(F.broadcast(span)).select(place.cast("bigint").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))  # span is one row
+
+
+def first_bin(df: DataFrame, measure: str, value: str) -> DataFrame:
+    """The rows of a measure's first bin."""
+    _, low, high, open_low = BINS[measure][0]
+    return df.where(in_bin(F.col(value), low, high, open_low))
+
+
+def summary(scores: DataFrame, table: str) -> str:
+    """The row of means as text, a metric a line, as it is printed at the end of a run."""
+    row = scores.where(F.col(table) == "All").first()
+    return "\n".join(f"{name}: {value}" for name, value in row.asDict().items()) if row else ""

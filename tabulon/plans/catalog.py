@@ -7,8 +7,9 @@ deterministic copy with changed keys, notes in brackets, nulls, and so on. Both
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import values as V
@@ -20,8 +21,9 @@ from tabulon.operators import profile as P
 from tabulon.operators import questions as Q
 from tabulon.operators import report as R
 from tabulon.operators import rules as U
+from tabulon.operators import stages as T
 from tabulon.operators import store as S
-from tabulon.sources import html_tables, readers
+from tabulon.sources import html_tables, readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -519,7 +521,6 @@ _bins_query("cells_bins", "cells", lambda s, d: _orders_of(s, d).select((F.col("
 _bins_query("rows_bins", "rows", lambda s, d: _orders_of(s, d).select((F.col("n") * 3).alias("x"), (F.col("y") / 1e6).alias("y")), "SELECT 3 * count(*) AS x, avg(o_totalprice) / 1e6 AS y FROM orders GROUP BY o_custkey")
 _bins_query("columns_bins", "columns", lambda s, d: _orders_of(s, d).select(F.col("n").alias("x"), (F.col("y") / 1e6).alias("y")), "SELECT count(*) AS x, avg(o_totalprice) / 1e6 AS y FROM orders GROUP BY o_custkey")
 _bins_query("popularity_bins", "popularity", lambda s, d: read(s, d, "events").groupBy("user_id").agg(F.floor(F.sum("value")).cast("bigint").alias("x"), (F.avg("value") / 1000).alias("y")), "SELECT floor(sum(value))::BIGINT AS x, avg(value) / 1000 AS y FROM events GROUP BY user_id")
-_bins_query("numeric_ratio_bins", "numeric_ratio", lambda s, d: read(s, d, "lineitem").groupBy("l_orderkey").agg(F.avg((F.col("l_returnflag") == "N").cast("double")).alias("x"), (F.avg("l_tax") * 10).alias("y")), "SELECT avg((l_returnflag = 'N')::INT) AS x, avg(l_tax) * 10 AS y FROM lineitem GROUP BY l_orderkey")
 
 
 @query("""WITH c AS (SELECT least(value, 100.0) AS x FROM events WHERE value IS NOT NULL), s AS (SELECT min(x) AS lo, max(x) AS hi FROM c)
@@ -595,16 +596,16 @@ def qa_outcomes(spark, sf_dir):
 @query("""SELECT r_regionkey, 'NoContext_m1_About the table ''' || r_name || ''' on u: Over the whole table, which ''n_name'' has the largest ''n_nationkey'' (' || keys || ')? Answer with the value only.' AS prompt_key
 FROM region JOIN (SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_nationkey) AS keys FROM nation GROUP BY 1) ON r_regionkey = n_regionkey""")
 def prompt_build(spark, sf_dir):
-    keys = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: s["n_name"]), ", ").alias("keys"))
+    keys = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: s["n_name"]).alias("keys"))
     r = read(spark, sf_dir, "region").join(keys, F.col("r_regionkey") == F.col("n_regionkey"))
-    question = Q.fill(Q.TEMPLATES["max"], key_column="n_name", column="n_nationkey", provided_keys=F.concat(F.lit("("), F.col("keys"), F.lit(")")))
+    question = Q.fill(Q.TEMPLATES["max"], key_column="n_name", column="n_nationkey", provided_keys=Q.provided_keys(F.col("keys")))
     return r.select("r_regionkey", Q.prompt_key("m1", Q.fill(Q.TEMPLATES["context"], table_title=F.col("r_name"), url="u", question=question)).alias("prompt_key"))
 
 
 @query("SELECT n_regionkey, array_to_string(list_transform(list(n_name ORDER BY n_nationkey), lambda x: '\"<' || x || '>\"'), '|') AS format FROM nation GROUP BY 1")
 def response_format(spark, sf_dir):
-    names = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: F.concat(F.lit('"<'), s["n_name"], F.lit('>"')))
-    return read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(names, "|").alias("format"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: s["n_name"])
+    return read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(Q.response_format(names).alias("format"))
 
 
 # --- stores -----------------------------------------------------------------------------------------
@@ -654,9 +655,284 @@ def map_overlay(spark, sf_dir):
     return merged.select("c_custkey", F.col("m")["name"].alias("name_type"), F.col("m")["balance"].alias("balance_type"))
 
 
-@query("""SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS row_idx, n_name || ';' || n_nationkey AS row FROM nation WHERE n_regionkey <> 3""")
+@query("""SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS row_idx, n_name || ';' || CASE WHEN n_nationkey % 7 = 1 THEN '?' ELSE n_nationkey::VARCHAR END AS row
+FROM nation WHERE n_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey = 9)""")
 def delimited_parse(spark, sf_dir):
     n = read(spark, sf_dir, "nation")
-    line = F.concat(F.lit('"'), F.col("n_name"), F.lit('"|'), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") == 8, "|extra").otherwise(""))
+    k = F.col("n_nationkey")
+    line = F.concat(F.lit('"'), F.col("n_name"), F.lit('"'), F.when(k % 7 == 1, "").otherwise(F.concat(F.lit("|"), k.cast("string"))), F.when(k == 9, "|extra|more").otherwise(""))
     by = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda s: s["l"]), "\n").alias("reply"), F.lit(2).alias("n"))
-    return readers.reply_rows(by, "n_regionkey", "reply", "n").select("n_regionkey", "row_idx", F.array_join("values", ";").alias("row"))
+    return readers.reply_rows(by, "n_regionkey", "reply", "n").select("n_regionkey", "row_idx", F.array_join("values", ";", "?").alias("row"))
+
+
+# --- whole stages -----------------------------------------------------------------------------------
+
+
+def customer_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tables, cells, columns): the customers of each nation as a table."""
+    c = read(spark, sf_dir, "customer")
+    names = ["c_name", "c_custkey", "c_mktsegment"]
+    cells = C.unpivot(c, "c_nationkey", "c_custkey", names)
+    tables = c.select(F.col("c_nationkey").alias("table_id")).distinct().withColumn("article", F.concat(F.lit("Customers of nation "), F.col("table_id").cast("string")))
+    dtypes = F.array(*(F.struct(F.lit(n).alias("col_name"), F.lit(t).alias("dtype")) for n, t in zip(names, ("object", "int64", "object"))))
+    return tables, cells, tables.select("table_id", F.explode(dtypes).alias("c")).select("table_id", "c.*")
+
+
+def customer_responder(spark, sf_dir):
+    """A model's replies as a table would hold them: titles, keys, and tables with lost, changed and short lines."""
+    k = F.col("c_custkey")
+    number = F.when(k % 5 == 1, k + 1_000_000).otherwise(k).cast("string")
+    line = F.concat(F.lit('"'), F.col("c_name"), F.lit('"|'), number, F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("|"), F.when(k % 3 == 0, "X").otherwise(F.col("c_mktsegment")))))
+    lines = read(spark, sf_dir, "customer").where(k % 7 != 0).groupBy(F.col("c_nationkey").cast("string").alias("nation"))
+    replies = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("l")))), lambda s: s["l"]), "\n").alias("table"))
+
+    def respond(prompts: DataFrame) -> DataFrame:
+        p = prompts.withColumn("nation", F.regexp_extract("prompt", r"[cC]ustomers of nation (\d+)", 1))
+        p = p.join(replies, "nation", "left")
+        text = F.when(F.col("prompt").startswith("List "), F.col("table")).when(F.col("prompt").contains("which names the row"), "It is Key: 'c_name'").otherwise(F.concat(F.lit(" the customers of nation "), F.col("nation")))
+        return p.select("prompt_key", text.alias("response"))
+
+    return respond
+
+
+GENERATED_SQL = """WITH t AS (SELECT c_nationkey AS table_id, count(*) AS rr, count(*) FILTER (c_custkey % 7 <> 0) AS fr, count(*) FILTER (c_custkey % 7 <> 0 AND c_custkey % 5 <> 1) AS m1,
+  count(*) FILTER (c_custkey % 7 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 11 <> 0) AS m2 FROM customer GROUP BY 1 HAVING count(*) FILTER (c_custkey % 7 <> 0) > 0),
+f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM (SELECT *, (fr + m1 + m2)::DOUBLE / (3 * rr) AS r, (fr + m1 + m2)::DOUBLE / (3 * fr) AS p, fr::DOUBLE / rr AS kr, (m1 + m2)::DOUBLE / (2 * fr) AS rel FROM t))
+"""
+
+
+@query(GENERATED_SQL + "SELECT table_id, 'the customers of nation ' || table_id AS title, 'c_name' AS key, rr AS rows, fr AS got_rows, round(kr, 4) AS key_recall, round(r, 4) AS recall, round(p, 4) AS precision, round(f1, 4) AS f1_score, round(rel, 4) AS relative_non_key_accuracy FROM f")
+def generate_scores(spark, sf_dir):
+    records, _ = T.generate(*customer_tables(spark, sf_dir), "m1", customer_responder(spark, sf_dir))
+    return records.select("table_id", "title", "key", "rows", "got_rows", *(F.round(m, 4).alias(m) for m in ("key_recall", "recall", "precision", "f1_score", "relative_non_key_accuracy")))
+
+
+@query(GENERATED_SQL + """SELECT table_id, col_name, dtype, round(hit::DOUBLE / rr, 4) AS recall, round(hit::DOUBLE / fr, 4) AS precision FROM (
+  SELECT table_id, rr, fr, unnest(['c_name', 'c_custkey', 'c_mktsegment']) AS col_name, unnest(['object', 'int64', 'object']) AS dtype, unnest([fr, m1, m2]) AS hit FROM f)""")
+def generate_columns(spark, sf_dir):
+    _, scores = T.generate(*customer_tables(spark, sf_dir), "m1", customer_responder(spark, sf_dir))
+    return scores.select("table_id", "col_name", "dtype", *(F.round(m, 4).alias(m) for m in ("recall", "precision")))
+
+
+def supplier_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tables, cells, columns): the suppliers of each nation as a table."""
+    s = read(spark, sf_dir, "supplier")
+    cells = C.unpivot(s, "s_nationkey", "s_suppkey", ["s_name", "s_suppkey"])
+    t = F.col("table_id").cast("string")
+    tables = s.select(F.col("s_nationkey").alias("table_id")).distinct().select("table_id", F.concat(F.lit("u"), t).alias("url"), F.concat(F.lit("Suppliers of nation "), t).alias("title"), F.lit("s_name").alias("key"))
+    return tables, cells, tables.select("table_id", F.lit("s_suppkey").alias("col_name"), F.lit("int64").alias("dtype"))
+
+
+def name_responder(prompts: DataFrame) -> DataFrame:
+    """Answers with the last name in a prompt, or its number where a value is asked for; says in other words with the first name."""
+    p = F.col("prompt")
+    names = F.regexp_extract_all(p, F.lit(r"Supplier#[0-9]+"), F.lit(0))
+    first, last = F.coalesce(F.get(names, F.lit(0)), F.lit("")), F.coalesce(F.get(names, F.size(names) - 1), F.lit("nobody"))
+    number = F.regexp_extract(last, "([0-9]+)", 1).try_cast("bigint")
+    value = F.when(number % 3 == 0, "0").otherwise(number.cast("string"))
+    return prompts.select("prompt_key", F.when(p.contains("say in other words"), F.concat(F.lit("Tell me of '"), first, F.lit("'"))).when(p.contains("what is"), value).otherwise(last).alias("response"))
+
+
+SUPPLIERS_SQL = """WITH s AS (SELECT s_nationkey AS n, s_suppkey AS k, s_name AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_suppkey * 7919) % 100003, s_suppkey) AS p,
+  max(s_suppkey) OVER (PARTITION BY s_nationkey) AS hi, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS lo FROM supplier)
+"""
+
+
+@query(SUPPLIERS_SQL + """SELECT 'u' || n AS "URL", name AS "Key", 's_suppkey' AS "Column", k::VARCHAR AS "Real Value", CASE WHEN k % 3 = 0 THEN '0' ELSE k::VARCHAR END AS "Response", (k % 3 <> 0 OR k = 0)::INT AS "Correct",
+  'In the row whose ''s_name'' is ''' || name || ''', what is ''s_suppkey''?' AS "Prompt", 'Tell me of ''' || name || '''' AS "Rephrased_question", name AS "Rephased_response",
+  CASE WHEN k % 3 = 0 THEN '0' ELSE k::VARCHAR END AS "Context Response", (k % 3 <> 0 OR k = 0)::INT AS "Context Correct" FROM s WHERE p = 1""")
+def qa_export_single(spark, sf_dir):
+    tables, cells, _ = supplier_tables(spark, sf_dir)
+    return T.lookups(cells, tables, "m1", name_responder).select(writers.SINGLE)
+
+
+def _comparison(name: str, largest: bool) -> None:
+    def run(spark, sf_dir):
+        tables, cells, columns = supplier_tables(spark, sf_dir)
+        return T.comparisons(cells, tables, columns, "m1", name_responder, largest).select(writers.COMPARISON)
+
+    word, pick = ("largest", "max") if largest else ("smallest", "min")
+    QUERIES[name] = run
+    ORACLES[name] = SUPPLIERS_SQL + f"""SELECT 'u' || n AS "URL", a || ', ' || b || ', ' || c AS "Key", 's_suppkey' AS "Column", c AS "Response", w AS "Actual Result", (c = w)::INT AS "Correct", (a = w)::INT AS "Rephrased Correct",
+  'Of ''' || a || ''', ''' || b || ''' and ''' || c || ''', which ''s_name'' has the {word} ''s_suppkey''?' AS "Prompt", 'Tell me of ''' || a || '''' AS "Rephrased Question", a AS "Rephrased Response", c AS "Context Response", (c = w)::INT AS "Context Correct"
+FROM (SELECT n, max(name) FILTER (p = 1) AS a, max(name) FILTER (p = 2) AS b, max(name) FILTER (p = 3) AS c, arg_{pick}(name, k) AS w FROM s WHERE p <= 3 GROUP BY n HAVING count(*) = 3)"""
+
+
+_comparison("qa_export_max_comparison", True)
+_comparison("qa_export_min_comparison", False)
+
+
+def _extremes(name: str, largest: bool) -> None:
+    def run(spark, sf_dir):
+        tables, cells, columns = supplier_tables(spark, sf_dir)
+        return T.extremes(cells, tables, columns, "m1", name_responder, largest).select(writers.EXTREME)
+
+    word, at = ("largest", "hi") if largest else ("smallest", "lo")
+    QUERIES[name] = run
+    ORACLES[name] = SUPPLIERS_SQL + f"""SELECT 'u' || n AS "URL", 's_name' AS "Key", 'nobody' AS "Response", w AS actual_result, -1 AS correct, 1 AS "Rephrased correct", (last = w)::INT AS "With keys",
+  'Over the whole table, which ''s_name'' has the {word} ''s_suppkey'' ?' AS "Prompt", 'Tell me of ''' || w || '''' AS "Rephrased Question", w AS "Rephrased Response", 'nobody' AS "Context Response", -1 AS "Context Correct"
+FROM (SELECT n, arg_max(name, k) AS last, max(name) FILTER (k = {at}) AS w FROM s GROUP BY n)"""
+
+
+_extremes("qa_export_max", True)
+_extremes("qa_export_min", False)
+
+
+@query(SUPPLIERS_SQL + """SELECT 'single' AS family, count(*) AS asked, count(*) FILTER (k % 3 <> 0 OR k = 0) AS "right", count(*) FILTER (k % 3 = 0 AND k <> 0) AS wrong, 0::BIGINT AS unknown, 0::BIGINT AS rephrased_right, count(*) FILTER (k % 3 <> 0 OR k = 0) AS context_right, NULL::BIGINT AS with_keys_right FROM s WHERE p = 1
+UNION ALL SELECT 'max', count(DISTINCT n), 0, 0, count(DISTINCT n), count(DISTINCT n), 0, count(DISTINCT n) FROM s
+UNION ALL SELECT 'min', count(DISTINCT n), 0, 0, count(DISTINCT n), count(DISTINCT n), 0, count(*) FILTER (hi = lo) FROM s""")
+def qa_tally(spark, sf_dir):
+    tables, cells, columns = supplier_tables(spark, sf_dir)
+    family = lambda name, df: df.withColumn("family", F.lit(name))
+    most = lambda largest: T.tally(T.extremes(cells, tables, columns, "m1", name_responder, largest), "correct", "Rephrased correct", "Context Correct", "With keys")
+    single = T.tally(T.lookups(cells, tables, "m1", name_responder), "Correct", "Rephrased correct", "Context Correct")
+    return family("single", single).unionByName(family("max", most(True))).unionByName(family("min", most(False)))
+
+
+def scored_records(spark, sf_dir) -> DataFrame:
+    """A record an order: the types of its columns, its shape, its article's popularity; every ninth has no scores."""
+    k = F.col("l_orderkey")
+    m = lambda *kinds: F.create_map(*(F.lit(x) for i, t in enumerate(kinds) for x in (f"c{i}", t)))
+    types = F.when(k % 4 == 0, m("object")).when(k % 4 == 1, m("object", "int64")).when(k % 4 == 2, m("int64", "float64", "object", "float64")).otherwise(m("int64", "float64"))
+    by = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_suppkey").alias("views"), F.avg("l_discount").alias("d"))
+    shape = F.struct((F.col("n") * 7).alias("rows"), F.size(types).alias("cols"))
+    return by.select(F.concat(F.lit("A"), k.cast("string")).alias("article"), F.concat(F.lit("u"), k.cast("string")).alias("url"), m("date").alias("dates"), types.alias("columns"), shape.alias("shape"), F.col("views").alias("popularity"), F.when(k % 9 != 0, F.col("d") * 8).alias("f1_score"))
+
+
+RECORDS_SQL = """SELECT 'A' || l_orderkey AS article, 'u' || l_orderkey AS url, 7 * count(*) AS rows, [1, 2, 4, 2][l_orderkey % 4 + 1]::BIGINT AS columns, 7 * count(*) * [1, 2, 4, 2][l_orderkey % 4 + 1] AS cells,
+  [0.0, 0.5, 0.75, 1.0][l_orderkey % 4 + 1]::DOUBLE AS numeric_ratio, sum(l_suppkey)::BIGINT AS popularity, avg(l_discount) * 8 AS f1_score FROM lineitem WHERE l_orderkey % 9 <> 0 GROUP BY l_orderkey"""
+
+
+@query(f"SELECT article, url, rows, columns, cells, numeric_ratio, popularity, round(f1_score, 4) AS f1_score FROM ({RECORDS_SQL})")
+def raw_metrics(spark, sf_dir):
+    return T.raw_metrics(scored_records(spark, sf_dir)).drop("dates").withColumn("f1_score", F.round("f1_score", 4))
+
+
+_bins_query("numeric_ratio_bins", "numeric_ratio", lambda s, d: T.raw_metrics(scored_records(s, d)).select(F.col("numeric_ratio").alias("x"), F.col("f1_score").alias("y")), f"SELECT numeric_ratio AS x, f1_score AS y FROM ({RECORDS_SQL})")
+
+MEASURES = {"numeric_ratio": R.INF, "popularity": 300.0, "cells": 60.0, "rows": R.INF, "columns": R.INF}
+_histogram_sql = lambda source, limit: f"WITH c AS (SELECT least(x::DOUBLE, {limit}) AS x FROM ({source}) WHERE x IS NOT NULL), s AS (SELECT min(x) AS lo, max(x) AS hi FROM c) SELECT CASE WHEN hi > lo THEN least(floor((x - lo) / ((hi - lo) / 10)), 9) ELSE 0 END::BIGINT AS bin, count(*) AS n FROM c, s GROUP BY 1"
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS measure, * FROM ({_histogram_sql(f'SELECT {m} AS x FROM ({RECORDS_SQL})', 1e300 if limit == R.INF else limit)})" for m, limit in MEASURES.items()))
+def measure_histograms(spark, sf_dir):
+    rows = T.raw_metrics(scored_records(spark, sf_dir))
+    each = [R.histogram(rows.select(F.col(m).cast("double").alias("x")), "x", limit).withColumn("measure", F.lit(m)) for m, limit in MEASURES.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query(_histogram_sql(f"SELECT f1_score AS x FROM ({RECORDS_SQL}) WHERE cells BETWEEN 20 AND 100", 1e300))
+def first_bin_histogram(spark, sf_dir):
+    return R.histogram(R.first_bin(T.raw_metrics(scored_records(spark, sf_dir)), "cells", "cells"), "f1_score", R.INF)
+
+
+# --- smaller operators of the stages ----------------------------------------------------------------
+
+
+@query("""SELECT o_custkey AS table_id, CASE WHEN o_custkey % 4 = 0 THEN 'mixed types' ELSE 'too many nulls' END AS reason, 'State' AS columns FROM orders WHERE o_custkey % 4 < 2 GROUP BY 1 HAVING count(*) >= 10""")
+def curate_rejections(spark, sf_dir):
+    """Every customer of ten orders: a column that mixes types, one of nulls, or neither."""
+    from tabulon.config import Rules
+
+    o, k = read(spark, sf_dir, "orders"), F.col("o_custkey")
+    many = o.groupBy("o_custkey").count().where("count >= 10").select("o_custkey")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = o.join(many, "o_custkey", "left_semi").withColumn("p", place)
+    state = F.when((k % 4 == 0) & (F.col("p") <= 5), F.col("p").cast("string")).when((k % 4 == 1) & (F.col("p") % 2 == 1), "-").otherwise(F.concat(F.lit("is "), F.col("o_orderstatus")))
+    e = lambda i, n, v: F.struct(F.lit(i).alias("col_idx"), F.lit(n).alias("col_name"), v.alias("raw"))
+    cells = rows.select(k.alias("table_id"), F.col("p").alias("row_idx"), F.explode(F.array(e(0, "Order", F.col("o_orderkey").cast("string")), e(1, "State", state), e(2, "By", F.concat(F.lit("c "), k.cast("string"))))).alias("c"))
+    found = U.rejections(cells.select("table_id", "row_idx", "c.*"), Rules(drop_last_aggregate_row=False))
+    return found.select("table_id", "reason", F.array_join("columns", ",").alias("columns"))
+
+
+@query("SELECT o_custkey AS table_id, o_orderkey AS row_idx, 'Price' AS col_name, o_totalprice AS num FROM orders WHERE o_custkey % 3 <> 0")
+def drop_bad_columns(spark, sf_dir):
+    o, k = read(spark, sf_dir, "orders"), F.col("o_custkey")
+    cells = C.unpivot(o.select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("Price")), "o_custkey", "o_orderkey", ["Price"])
+    bad = o.where(k % 3 == 0).select(k.alias("table_id"), F.lit(0).alias("col_idx")).distinct()
+    return U.drop_bad_columns(cells, bad).select("table_id", "row_idx", "col_name", "v.num")
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '∫' || p_brand || '∫' END AS header, p_partkey % 3 = 0 AS multi FROM part""")
+def header_styles(spark, sf_dir):
+    """Styled text goes from names but where it is all of the name; a header of two rows is a reason to reject."""
+    from tabulon.config import Rules
+
+    k = F.col("p_partkey")
+    name = F.when(k % 2 == 0, F.concat(F.col("p_brand"), F.lit("∫note∫"))).otherwise(F.concat(F.lit("∫"), F.col("p_brand"), F.lit("∫")))
+    kept = F.when(name.rlike("^∫.+∫$"), name).otherwise(U.header_text(name, Rules(strip_header_style=True)))
+    t = read(spark, sf_dir, "part").select("p_partkey", kept.alias("header_name"), F.lit(9).alias("n_rows"), F.lit(2).alias("n_cols"), F.when(k % 3 == 0, 2).otherwise(1).alias("header_depth"), F.array(F.lit("a"), F.lit("b")).alias("header"), F.lit(True).alias("ascii_data"))
+    return G.first_reason(t).select("p_partkey", F.col("header_name").alias("header"), F.coalesce(F.col("reason") == "multi-level header", F.lit(False)).alias("multi"))
+
+
+@query("SELECT o_custkey AS table_id, 'd' AS col_name, CASE WHEN max(o_orderkey) % 2 = 0 THEN '%Y-%m-%d' ELSE '%d %b %Y' END AS format FROM orders GROUP BY 1")
+def date_columns(spark, sf_dir):
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    raw = F.when(k % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "d MMM yyyy"))
+    return U.dates_of(o.select(F.col("o_custkey").alias("table_id"), k.alias("row_idx"), F.lit("d").alias("col_name"), V.typed(raw).alias("v")))
+
+
+@query("SELECT l_orderkey AS table_id, l_linenumber AS row_idx, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::INT AS place FROM lineitem WHERE l_linenumber % 2 = 0")
+def row_places(spark, sf_dir):
+    return U.row_places(read(spark, sf_dir, "lineitem").where("l_linenumber % 2 = 0").select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row_idx")))
+
+
+@query("SELECT user_id, min(left(ts::VARCHAR, 10)) AS first_changed, count(*)::INT AS num_of_changes, floor(avg(value))::INT AS popularity FROM events GROUP BY 1")
+def attach_metadata(spark, sf_dir):
+    """Records get their article's metadata as it is stored, decoded."""
+    e = read(spark, sf_dir, "events")
+    details = H.article_details(e.select("user_id", "ts"), e.select("user_id", F.col("value").alias("views")), "user_id")
+    stored = details.select("user_id", F.to_json(F.struct("first_changed", "num_of_changes", "popularity")).alias("article_metadata"))
+    return readers.article_metadata(e.select("user_id").distinct().join(stored, "user_id", "left")).select("user_id", "article_metadata.*")
+
+
+@query(SNAP_SQL + "SELECT t FROM f WHERE r IS NULL")
+def consistent_tables(spark, sf_dir):
+    return H.consistent(H.snapshot_diff(*snapshots(spark, sf_dir), "t", "r", ["a", "b", "c"]), "t")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'size' WHEN 1 THEN 'brand,size' ELSE '' END AS shared FROM part""")
+def known_columns(spark, sf_dir):
+    k = F.col("p_partkey")
+    names = lambda *x: F.array(*map(F.lit, x))
+    columns = F.when(k % 3 == 0, names("name", "size", "Total")).when(k % 3 == 1, names("name", "brand", "size")).otherwise(names("name", "Total"))
+    shared = Q.known_columns(columns, names("size", "brand", "name", "Total"), F.lit("name"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(shared), ",").alias("shared"))
+
+
+@query("SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS places FROM lineitem GROUP BY 1")
+def index_sets(spark, sf_dir):
+    by = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("a"), F.collect_list(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber"))).alias("b"))
+    return by.select("l_orderkey", F.array_join(Q.index_set(F.col("a"), F.col("b")).cast("array<string>"), ",").alias("places"))
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_name LIMIT 350")
+def capped_tables(spark, sf_dir):
+    return Q.capped(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name")
+
+
+@query("SELECT n_regionkey, n_name, place FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY (n_nationkey * 7919) % 1009)::INT AS place, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation) WHERE place <= least(n // 3, 5)")
+def profile_sample(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").withColumn("rows", F.count("*").over(Window.partitionBy("n_regionkey")))
+    return P.seeded(n, ["n_regionkey"], (F.col("n_nationkey") * 7919) % 1009, P.sample_size(F.col("rows"))).select("n_regionkey", "n_name", "place")
+
+
+@query("""SELECT i::BIGINT AS draw, chr((65 + k % 26)::INT) || chr((97 + (k // 26) % 26)::INT) AS prefix, (k * 31) % 9501 AS "offset" FROM (SELECT i, i * 7919 + 104729 AS k FROM range(1000) t(i))""")
+def search_draws(spark, sf_dir):
+    return readers.search_draws(spark)
+
+
+@query("""SELECT o_custkey AS table_id, 'a' AS col_name, CASE WHEN o_custkey % 3 = 0 THEN 'int64' WHEN o_custkey % 3 = 1 THEN 'float64' ELSE 'object' END AS dtype FROM orders WHERE o_custkey % 3 <> 1 OR o_orderkey % 5 <> 0 GROUP BY o_custkey""")
+def column_dtypes(spark, sf_dir):
+    k, price = F.col("o_custkey"), F.format_string("%.2f", F.col("o_totalprice"))
+    raw = F.when(k % 3 == 0, F.col("o_orderkey").cast("string")).when(k % 3 == 1, F.when(F.col("o_orderkey") % 5 != 0, price)).otherwise(F.concat(F.lit("x"), price))
+    cells = read(spark, sf_dir, "orders").select(k.alias("table_id"), F.lit("a").alias("col_name"), raw.alias("raw"))
+    some = cells.where("raw is not null").select("table_id").distinct()
+    return readers.column_types(cells.join(some, "table_id", "left_semi"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'gemini' END AS provider FROM nation")
+def provider_route(spark, sf_dir):
+    models = ("gpt-4.1-2025-04-14", "gemini-2.5-pro", "other")
+    who = F.array(*(F.lit(S.provider(m)).cast("string") for m in models))
+    return read(spark, sf_dir, "nation").select("n_nationkey", F.get(who, (F.col("n_nationkey") % 3).cast("int")).alias("provider"))
