@@ -2,9 +2,13 @@
 
 1. language ID: documents go whose language isn't recognised (no letters, or no language explains them);
 2. SimHash near duplicates: of each component the document of least doc_id stays;
-3. personal data: every span is replaced in the text by its kind, and n_chars follows;
+3. personal data: every span, secrets included, is replaced in the text by its kind, and n_chars follows;
 4. mixing: the documents of one epoch that the target weights take, each once;
 5. byte-level BPE: the token ids of each text, with digests of the ids and of the decoded bytes.
+
+Null and empty texts have no language and go first. Rows that repeat a doc_id stay only where their texts differ beyond
+SimHash's radius. Columns besides those of documents, whatever their names, go through all stages but the last. An
+empty table gives an empty one. A stage's folder and scratch tables go as soon as the next stage is written.
 """
 
 from __future__ import annotations
@@ -15,26 +19,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import bpe, language_id, mixing, pii, simhash
-from tabulon.llm.common import shared_dir, table
+from tabulon.llm.common import remove, remove_at_exit, scratch, shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with a recognised language; texts without a letter (null, empty) have none. Columns stay as they are."""
     return language_id.accept(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of least doc_id; documents without an id stay."""
     return simhash.deduplicate(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its spans of personal data replaced by their kinds."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that one epoch at the target weights takes; a null language or source is a name of its own."""
     return mixing.sample(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digests of ids and decoded bytes of every document; a null text has no ids."""
     coded = bpe.round_trip(docs, *bpe.vocabulary())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -54,9 +63,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents in ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    at = f"{shared_dir(spark)}/tabulon/pipeline-{uuid.uuid4().hex}"
+    at, last = f"{shared_dir(spark)}/tabulon/pipeline-{uuid.uuid4().hex}", None
+    remove_at_exit(spark, at)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{at}/{k}_{name}")
-        docs = spark.read.parquet(f"{at}/{k}_{name}")
+        path = f"{at}/{k}_{name}"
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
