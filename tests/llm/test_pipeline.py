@@ -59,3 +59,22 @@ def test_the_mix_is_a_part_and_all_of_it_is_encoded(stages):
 
 def test_run_gives_the_last_stage(spark):
     assert pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
+def test_run_on_an_empty_table_and_on_repeated_rows_long_texts_and_clashing_names(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    odd = docs.schema.add("_source", "string").add("row", "integer").add("hash", "string").add("domain", "string").add("lang_pred", "string").add("component_id", "long").add("spans", "string").add("text_", "string")
+    some = docs.limit(60).collect()
+    rows = [(*r, "s", 1, "h", "d", "l", 2, "x", "y") for r in [*some, *some[:9]]]
+    rows += [(None, "a short text without an id that stays", "en", None, 5, *rows[0][5:]), (10**7, "the weather with that other thing there " * 20_000, "en", "src1", 9, *rows[0][5:]), (10**7 + 1, None, None, None, None, *rows[0][5:])]
+    spark.createDataFrame(rows, odd).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    whole = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for _, stage in pipeline.STAGES[:-1]:
+        after = stage(spark, whole, SF)
+        assert after.columns == whole.columns
+        after.write.mode("overwrite").parquet(str(tmp_path / "next"))
+        whole = spark.createDataFrame(spark.read.parquet(str(tmp_path / "next")).collect(), whole.schema)
+    got = [r["doc_id"] for r in pipeline.run(spark, str(tmp_path / "odd")).collect()]
+    assert got and len(got) == len(set(got)) and set(got) <= {r[0] for r in rows}
