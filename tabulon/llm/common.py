@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,19 @@ def discard(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def pack(batches: list[pa.RecordBatch]) -> bytes:
+    """Rows as one compressed piece."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+
+
+def unpack(piece: bytes) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(piece))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out once."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -20,10 +20,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import table, written
+from tabulon.llm.common import pack, table, unpack, written
 from tabulon.llm.graph import components
 
 RADIUS = 2
@@ -31,6 +32,9 @@ BLOCK_PAIRS = list(combinations(range(4), 2))
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 ABANDON_EVERY = 8
 SMALL_BUCKET = 48
+#: Code points of a block's texts, and blocks of a task that reads them again.
+BLOCK_CHARS = 1 << 22
+TASK_BLOCKS = 4
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -50,17 +54,16 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """(doc_id, fp bigint) of every row, and the column ``row`` if asked for; the bits of fp are those of the unsigned fingerprint."""
-    names = ["doc_id", "fp"] if row is None else ["doc_id", "fp", "row"]
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"), *([] if row is None else [F.col(row).cast("bigint").alias("row")]))
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp bigint) of every row; the bits of fp are those of the unsigned fingerprint."""
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint{', row bigint' if row else ''}")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -176,25 +179,67 @@ def links(distinct: DataFrame, most: int = 4096) -> DataFrame:
     return edges.unionByName(rest)
 
 
-def groups(docs: DataFrame, words: int = 3, seed: int = 42, most: int = 4096, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (the least doc_id that links reach, its own included).
+def labelled(prints: DataFrame, most: int = 4096) -> DataFrame:
+    """``prints`` (a written table with doc_id and fp) with root, the component's least fingerprint, and component_id."""
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    member = written(components(links(distinct, most)).withColumnRenamed("node", "fp"), "members")
+    named = member.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
+    linked = member.join(named, "root").select("fp", "root", "component_id")
+    label = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
+    return prints.join(label, "fp", "left")
 
-    With ``row``, a column of integers, come that column and root, the component's least fingerprint.
+
+def groups(docs: DataFrame, words: int = 3, seed: int = 42, most: int = 4096, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp, component_id (the least doc_id that links reach, its own included).
 
     A null text has fingerprint zero, as a text without words has, and links like any other. Repeated
     rows share a fingerprint and so a component; rows with a null doc_id take part but never name a
     component, which is null only if no member has an id. Other columns are not read. Empty in, empty out.
     """
-    prints = written(fingerprints(docs, words, seed, id_col, text, row), "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    member = written(components(links(distinct, most)).withColumnRenamed("node", "fp"), "members")
-    named = member.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = member.join(named, "root").select("fp", "root", "component_id")
-    label = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(label, "fp", "left").select("doc_id", "fp", "component_id", *(["root", "row"] if row else []))
+    return labelled(written(fingerprints(docs, words, seed, id_col, text), "prints"), most).select("doc_id", "fp", "component_id")
+
 
+def blocked(whole: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """block, pack, prints: rows of ``whole`` (doc_id, hash, text, all) in blocks of some megabytes, compressed, with what each is judged by.
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    Blocks are cut as a task reads its rows, so the table is written before it is used.
+    """
+    kind = whole.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, k, size = TaskContext.get().partitionId(), 0, 0
+        held: list[pa.RecordBatch] = []
+        prints: list[tuple] = []
+        parts: list[pa.Array] = []
+
+        def emit() -> pa.RecordBatch:
+            nonlocal k, size, held, prints, parts
+            ids = pa.concat_arrays(parts)
+            rows = pa.StructArray.from_arrays([ids, pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())], names=["doc_id", "hash", "fp"])
+            out = pa.RecordBatch.from_arrays([pa.array([task << 32 | k]), pa.array([pack(held)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], names=["block", "pack", "prints"])
+            k, size, held, prints, parts = k + 1, 0, [], [], []
+            return out
+
+        for batch in batches:
+            begin = 0
+            for i, (h, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+                text = text.as_py()
+                prints.append((h, int(np.uint64(fingerprint(text, words, seed)).astype(np.int64))))
+                size += len(text or "")
+                if size >= BLOCK_CHARS or i + 1 == batch.num_rows:
+                    part = batch.slice(begin, i + 1 - begin)
+                    held.append(part.select([3]))
+                    parts.append(part.column(0))
+                    begin = i + 1
+                if size >= BLOCK_CHARS:
+                    yield emit()
+        if held:
+            yield emit()
+
+    return whole.mapInArrow(run, f"block bigint, pack binary, prints array<struct<doc_id:{kind},hash:bigint,fp:bigint>>")
+
+
+def deduplicate(docs: DataFrame, words: int = 3, seed: int = 42, most: int = 4096) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document of least doc_id, once.
 
     A row without doc_id can't be judged and stays. Rows that share an id are held by their texts: in one component
@@ -202,22 +247,32 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     wordless texts have one fingerprint and are one component. Columns may have any names besides doc_id and text.
     Empty in, empty out.
 
-    The rows that go are named by (doc_id, hash) and joined out: broadcast while they are below Spark's threshold, so
-    that texts aren't shuffled, else by a sorted join. Only rows that repeat another in every column are grouped whole.
+    Rows are read once, into compressed blocks. What decides is a few numbers a row; the places that stay then meet
+    their block, so that texts move compressed, a few blocks to a task, whatever the number of copies.
     """
     plain = [F.to_json(f"`{c}`") if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
-    whole = docs.select(F.struct("*").alias("all"), F.col("doc_id"), F.xxhash64(*plain).alias("hash"))
-    found = groups(whole.select("doc_id", F.col("all.text").alias("text"), "hash"), row="hash", **options).where("doc_id is not null")
-    each = found.groupBy("doc_id", "root", F.col("row").alias("hash")).agg(F.count("*").alias("n"), F.first("component_id").alias("least"))
-    each = written(each, "judged")
-    heads = each.where("doc_id = least").groupBy("doc_id", "root").agg(F.min("hash").alias("head"))
-    gone = written(each.join(heads, ["doc_id", "root"], "left").where("head is null or hash <> head").select("doc_id", "hash"), "gone")
-    again = written(each.join(heads, ["doc_id", "root"]).where("hash = head and n > 1").select("doc_id", "hash"), "again")
-    stay = whole.join(gone, ["doc_id", "hash"], "left_anti")
-    if not again.isEmpty():
-        once = stay.join(again, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
-        stay = stay.join(again, ["doc_id", "hash"], "left_anti").unionByName(once)
-    return stay.select("all.*")
+    whole = docs.select("doc_id", F.xxhash64(*plain).alias("hash"), F.col("text").cast("string").alias("text"), F.struct("*").alias("all"))
+    blocks = written(blocked(whole, words, seed), "blocks")
+    prints = written(blocks.select("block", F.posexplode("prints").alias("at", "p")).select("block", "at", "p.doc_id", "p.hash", "p.fp"), "prints")
+    found = labelled(prints, most)
+    heads = found.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min(F.struct("hash", "block", "at")).alias("m")).select("m.block", "m.at")
+    stay = heads.unionByName(prints.where("doc_id is null").select("block", "at"))
+    tasks = max(1, -(-blocks.count() // TASK_BLOCKS))
+    places = stay.repartition(tasks, "block").groupBy("block").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    met = blocks.select("block", "pack").repartition(tasks, "block").join(places, "block").select("pack", "places")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, places in zip(batch.column(0), batch.column(1)):
+                at, begin = places.values.to_numpy(), 0
+                for part in unpack(piece.as_py()):
+                    own = at[(at >= begin) & (at < begin + part.num_rows)] - begin
+                    begin += part.num_rows
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays(part.column(0).take(pa.array(own)).flatten(), names=names)
+
+    return met.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
