@@ -87,13 +87,13 @@ def discard(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
-def pack(batches: list[pa.RecordBatch]) -> bytes:
+def pack(batches: list[pa.RecordBatch], level: int = 3) -> bytes:
     """Rows as one compressed piece."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batches[0].schema) as out:
         for batch in batches:
             out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+    return zstandard.ZstdCompressor(level=level).compress(sink.getvalue())
 
 
 def unpack(piece: bytes) -> Iterator[pa.RecordBatch]:

@@ -17,12 +17,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import held_out, table, written
+from tabulon.llm.common import held_out, pack, table, unpack, written
 
 ORDER = 4
 BITS = 12
@@ -37,8 +36,8 @@ QUANTILE = 0.99
 SPREAD = 2.0
 LEAST_CHARS = 200
 #: Code points of a block's texts, and blocks of a task that scores them.
-BLOCK_CHARS = 1 << 22
-TASK_BLOCKS = 4
+BLOCK_CHARS = 1 << 24
+TASK_BLOCKS = 2
 #: Symbols that a task counts at once; its arrays are some hundred bytes for each.
 COUNT_CHARS = 1 << 19
 
@@ -96,7 +95,7 @@ def blocked(src: DataFrame, trust: Callable[[str | None], bool] = trusted) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, task, k = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        task, k = TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         parts, weights, size, chars = [], [], 0, 0
@@ -110,12 +109,8 @@ def blocked(src: DataFrame, trust: Callable[[str | None], bool] = trusted) -> Da
         def emit() -> pa.RecordBatch:
             nonlocal k, held, keys, counts, chars
             count()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as out:
-                for batch in held:
-                    out.write_batch(batch)
             row = pa.RecordBatch.from_arrays(
-                [pa.array([task << 32 | k]), pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary()), pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
+                [pa.array([task << 32 | k]), pa.array([pack(held, level=9)], pa.binary()), pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
                 names=["block", "pack", "gram", "n"],
             )
             k, held, chars = k + 1, [], 0
@@ -197,13 +192,12 @@ def perplexities(docs: DataFrame, trust: Callable[[str | None], bool] = trusted,
     met = parts.select("block", "pack").repartition(tasks, "block").join(listed, "block").select("pack", F.col("model.gram").alias("gram"), F.col("model.logp").alias("logp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
                 keys, values = batch.column(1)[i].values.to_numpy(), batch.column(2)[i].values.to_numpy()
                 order = np.argsort(keys)
                 keys, values = keys[order], values[order]
-                for part in pa.ipc.open_stream(open_(batch.column(0)[i].as_py())):
+                for part in unpack(batch.column(0)[i].as_py()):
                     own, n, ppl, low = [], [], [], []
                     for t in part.column(3):
                         t = t.as_py()
