@@ -100,6 +100,22 @@ def unpack(piece: bytes) -> Iterator[pa.RecordBatch]:
     yield from pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(piece))
 
 
+#: A key that one row in so many has, or more of them, is common; so many are, at most.
+COMMON = 1000
+
+
+def spread_join(rows: DataFrame, label: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``label``, a written table of each key once; its ``weight`` columns sum to ``total``.
+
+    Rows of common keys, by weight, meet their label where they are, as those labels are COMMON at most; the others are
+    shuffled to theirs. So no key brings more than a small part of the rows into one task. Keys aren't null.
+    """
+    common = F.col(weight) >= F.lit(total / COMMON)
+    few = F.broadcast(label.where(common))
+    rest = rows.join(few.select(key), key, "left_anti").join(label.where(~common), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out once."""
     return F.element_at(F.transform(F.array(value), use), 1)

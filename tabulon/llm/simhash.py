@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import pack, table, unpack, written
+from tabulon.llm.common import pack, spread_join, table, unpack, written
 from tabulon.llm.graph import components
 
 RADIUS = 2
@@ -180,13 +180,16 @@ def links(distinct: DataFrame, most: int = 4096) -> DataFrame:
 
 
 def labelled(prints: DataFrame, most: int = 4096) -> DataFrame:
-    """``prints`` (a written table with doc_id and fp) with root, the component's least fingerprint, and component_id."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    member = written(components(links(distinct, most)).withColumnRenamed("node", "fp"), "members")
+    """``prints`` (a written table with doc_id and fp) with root, the component's least fingerprint, and component_id.
+
+    Rows of common fingerprints meet their label where they are, so that none gathers more than a thousandth of the rows.
+    """
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
+    member = written(components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp"), "members")
     named = member.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = member.join(named, "root").select("fp", "root", "component_id")
-    label = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(label, "fp", "left")
+    label = distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
+    return spread_join(prints, written(label, "labels"), "fp", "n", prints.count()).drop("n")
 
 
 def groups(docs: DataFrame, words: int = 3, seed: int = 42, most: int = 4096, id_col: str = "doc_id", text: str = "text") -> DataFrame:

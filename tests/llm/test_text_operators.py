@@ -131,8 +131,9 @@ def plain_components(prints):
     return {p: find(p) for p in ps}
 
 
-@pytest.mark.parametrize("most", [4096, 2])
-def test_simhash_groups(spark, most):
+@pytest.mark.parametrize("most, common", [(4096, 1000), (2, 1000), (4096, 20)])
+def test_simhash_groups(spark, monkeypatch, most, common):
+    monkeypatch.setattr("tabulon.llm.common.COMMON", common)
     long = [" ".join(random.choices(WORDS, k=400)) for _ in range(6)]
     texts = TEXTS + long + [t + " tail" for t in long] + [t.upper() for t in long]
     got = simhash.groups(docs(spark, texts), most=most).collect()
