@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -54,7 +55,7 @@ class PairTable:
             self.keys[at], self.ranks[at] = keys[cand[first]], ranks[cand[first]]
             left = np.setdiff1d(left, cand[first], assume_unique=True)
             slot[left] = (slot[left] + 1) & self.mask
-        # A key moves on in rounds, also past slots that were free to it, so a look-up stops only at its key or after all rounds.
+        # A key moves on only past slots that another holds, so a look-up ends at its key or at a free slot.
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -240,6 +241,12 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+@lru_cache(1)
+def _codec(ranks: bytes, pattern: str) -> Codec:
+    """A worker's codec, kept from task to task."""
+    return Codec(load_ranks(ranks), pattern)
+
+
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns with ``ids`` array<int> (the encoded text) and ``decoded`` binary (those ids decoded).
 
@@ -252,7 +259,7 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[str, ...
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(load_ranks(shared.value), pattern)
+        codec = _codec(shared.value, pattern)
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
             for i, j in slices(texts):
