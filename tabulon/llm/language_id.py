@@ -88,7 +88,8 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, text: str
     """The languages and their trigram distributions, from rows that are not held out.
 
     A bounded sample suffices for the fit: about ``rows_per_language`` whole texts of each language,
-    chosen by a hash of the id. What comes to the driver is a table of 2**BITS counts per language.
+    chosen by a hash of the id. Tasks' counts are summed by language (eight at most of each) before they come to the
+    driver, as a table of 2**BITS counts per language.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     rows = rows.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -109,10 +110,14 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, text: str
         for name, n in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n.tobytes()], pa.binary())], names=["lang", "n"])
 
-    parts = rows.where(chosen).select("lang", "text").repartition(8).mapInArrow(run, "lang string, n binary").collect()
+    def add(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(n.as_py(), np.int64) for n in part.column("n"))
+        return pa.table({"lang": part.column("lang").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+
+    parts = rows.where(chosen).select("lang", "text").repartition(8).mapInArrow(run, "lang string, n binary")
     n = np.zeros((len(names), 1 << BITS))
-    for name, part in parts:
-        n[names.index(name)] += np.frombuffer(part, np.int64)
+    for name, part in parts.groupBy("lang").applyInArrow(add, "lang string, n binary").collect():
+        n[names.index(name)] = np.frombuffer(part, np.int64)
     n += SMOOTH
     return names, n / n.sum(1, keepdims=True)
 
