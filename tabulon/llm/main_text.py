@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import let, table, written
+from tabulon.llm.common import let, spread_join, table, written
 
 #: A subtree is the site's if it is on so many different pages of the host; above a hundred pages, where more recurs
 #: by chance, on half the square root of their number (16 of 1,000, 159 of 100,000).
@@ -284,13 +284,15 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """host, site: the hashes of the elements that recur on a host. Pages of one main text count once, as the one of least tree.
 
-    Their number grows at most as the square root of the host's pages.
+    Their number grows at most as the square root of the host's pages. The elements of a common host aren't brought to
+    one task before that.
     """
     every = F.array_distinct(F.concat("elements.hash", "others"))
     different = parsed.groupBy("host", "page").agg(F.min_by(every, "tree").alias("subtrees"))
-    n = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    n = written(different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages), "hosts")
     counts = different.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("on")).where(F.col("on") >= least_pages)
-    site = counts.join(n, "host").where(F.col("on") >= F.sqrt("pages") / 2)
+    total = n.agg(F.sum("pages")).first()[0] or 0
+    site = spread_join(written(counts, "counts"), n, "host", "pages", total).where(F.col("on") >= F.sqrt("pages") / 2)
     return site.groupBy("host").agg(F.collect_list("subtree").alias("site"))
 
 
