@@ -9,6 +9,8 @@
 Null and empty texts have no language and go first. Rows that repeat a doc_id stay only where their texts differ beyond
 SimHash's radius. Columns besides those of documents, whatever their names, go through all stages but the last. An
 empty table gives an empty one. A stage's folder and scratch tables go as soon as the next stage is written.
+
+Stages that run Python on the executors get their rows in batches of bounded size, by a setting of the session.
 """
 
 from __future__ import annotations
@@ -21,14 +23,25 @@ from pyspark.sql import functions as F
 from tabulon.llm import bpe, language_id, mixing, pii, simhash
 from tabulon.llm.common import remove, remove_at_exit, scratch, shared_dir, table
 
+#: A batch that goes to a Python worker ends with the row that brings it to so many bytes. Spark's own bound is 10,000 rows, of any length.
+BATCH_BYTES = 1 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Executors hold a batch several times, outside the heap and in the worker, so it shall be small. A setting that is there holds."""
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with a recognised language; texts without a letter (null, empty) have none. Columns stay as they are."""
+    bound_batches(spark)
     return language_id.accept(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of least doc_id; documents without an id stay."""
+    bound_batches(spark)
     return simhash.deduplicate(docs)
 
 
@@ -44,6 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digests of ids and decoded bytes of every document; a null text has no ids."""
+    bound_batches(spark)
     coded = bpe.round_trip(docs, *bpe.vocabulary())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -78,3 +78,30 @@ def test_run_on_an_empty_table_and_on_repeated_rows_long_texts_and_clashing_name
         whole = spark.createDataFrame(spark.read.parquet(str(tmp_path / "next")).collect(), whole.schema)
     got = [r["doc_id"] for r in pipeline.run(spark, str(tmp_path / "odd")).collect()]
     assert got and len(got) == len(set(got)) and set(got) <= {r[0] for r in rows}
+
+
+def test_python_gets_rows_in_small_batches_and_all_of_them(spark, tmp_path):
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = spark.range(2000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" the weather of this other thing"), 128)).alias("text"), F.lit("en").alias("lang"), F.lit("src0").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    one = spark.createDataFrame([(10**6, "a long word " * 200_000, "en", "src0", 0)], long.schema)  # more than a batch by itself
+    long = long.unionByName(one).coalesce(1).cache()
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes]), pa.array([max(len(t.as_py()) for t in b.column(1))])], names=["n", "bytes", "longest"])
+
+    for name, stage in (s for s in pipeline.STAGES if s[0] in ("language_id", "near_duplicates", "byte_bpe")):
+        spark.conf.unset(key)
+        stage(spark, docs, SF)
+        seen = long.select("doc_id", "text").mapInArrow(sizes, "n long, bytes long, longest long").collect()
+        assert sum(r["n"] for r in seen) == 2001, name
+        assert max(r["bytes"] - r["longest"] for r in seen) < 1.1 * pipeline.BATCH_BYTES, name
+    coded = {r[0]: r[1] for r in pipeline.encode(spark, long, SF).select("doc_id", F.hex("decoded_sha256")).collect()}
+    assert coded == {r[0]: r[1] for r in long.select("doc_id", F.hex(F.sha2(F.col("text").cast("binary"), 256))).collect()}
+    spark.conf.set(key, "3m")  # a setting that is there holds
+    pipeline.encode(spark, docs, SF)
+    assert spark.conf.get(key) == "3m"
+    spark.conf.unset(key)
