@@ -43,7 +43,11 @@ def consistent(statuses: DataFrame, table: str) -> DataFrame:
 
 
 def article_details(revisions: DataFrame, views: DataFrame, page: str) -> DataFrame:
-    """page, first_changed (a date), num_of_changes, popularity (mean views, cut to an integer)."""
+    """page, first_changed (a date), num_of_changes, popularity (mean views, cut to an integer; exact where views have ten decimals at most)."""
     changes = revisions.groupBy(page).agg(F.substring(F.min("ts").cast("string"), 1, 10).alias("first_changed"), F.count("*").alias("num_of_changes"))
-    seen = views.groupBy(page).agg(F.floor(F.avg("views")).cast("bigint").alias("popularity"))
+    exact = F.col("views").try_cast("decimal(28,10)")  # summed as doubles, a whole mean may fall short of itself, as the rows come
+    sums = views.groupBy(page).agg(F.avg("views").alias("mean"), F.sum(exact).alias("total"), F.count_if(exact.cast("double") == F.col("views")).alias("fit"), F.count("views").alias("n"))
+    n = F.nullif("n", F.lit(0))
+    whole = F.when(F.col("fit") == n, ((F.col("total") - F.pmod("total", n)) / n).cast("bigint")).otherwise(F.floor("mean"))
+    seen = sums.select(page, whole.alias("popularity"))
     return changes.join(seen, page, "left")

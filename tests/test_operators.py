@@ -181,3 +181,11 @@ def test_rejections_name_the_rule_and_its_columns(spark):
     got = {r["table_id"]: (r["reason"], r["columns"]) for r in U.rejections(every).collect()}
     assert got == {"mixed": ("mixed types", ["b"]), "nulls": ("too many nulls", ["b"]), "nameless": ("nameless column", ["Unnamed: 0"])}
     assert {r["table_id"] for r in U.curate(every).select("table_id").distinct().collect()} == {"good"}
+
+
+def test_a_whole_mean_is_not_cut_below_itself(spark):
+    whole = [39.23, 8.09, 7.51, 145.17]
+    rows = [("a", v) for v in whole] + [("b", -0.5), ("b", -1.0), ("c", None), ("d", 1e15), ("d", 2e18), ("e", 0.99999999999999), ("f", 2.0), ("f", None)]
+    e = spark.createDataFrame(rows, "p string, views double").coalesce(1)
+    got = H.article_details(e.select("p", F.lit("2024-01-01").alias("ts")), e, "p").collect()
+    assert {r["p"]: r["popularity"] for r in got} == {"a": 50, "b": -1, "c": None, "d": 1000500000000000000, "e": 0, "f": 2}
