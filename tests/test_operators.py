@@ -189,3 +189,11 @@ def test_a_whole_mean_is_not_cut_below_itself(spark):
     e = spark.createDataFrame(rows, "p string, views double").coalesce(1)
     got = H.article_details(e.select("p", F.lit("2024-01-01").alias("ts")), e, "p").collect()
     assert {r["p"]: r["popularity"] for r in got} == {"a": 50, "b": -1, "c": None, "d": 1000500000000000000, "e": 0, "f": 2}
+
+
+def test_popularity_is_the_same_however_views_are_dealt(spark):
+    views = spark.createDataFrame([(p, v) for p in range(50) for v in (39.23, 8.09, 7.51, 145.17)], "p int, views double")
+    ts = views.select("p", F.lit("2024-01-01").alias("ts"))
+    for order in ("views", "-views", "hash(views)", "hash(p, views)"):
+        dealt = views.repartitionByRange(7, F.expr(order))
+        assert {r["popularity"] for r in H.article_details(ts, dealt, "p").collect()} == {50}
