@@ -197,3 +197,13 @@ def test_popularity_is_the_same_however_views_are_dealt(spark):
     for order in ("views", "-views", "hash(views)", "hash(p, views)"):
         dealt = views.repartitionByRange(7, F.expr(order))
         assert {r["popularity"] for r in H.article_details(ts, dealt, "p").collect()} == {50}
+
+
+def test_a_profile_counts_kinds_by_cells_and_sorts_none(spark):
+    from tabulon.operators import profile as P
+
+    rows = [("1",), ("1",), ("2",), ("x",), ("y",), (None,)]
+    c = U.clean(cells(spark, rows, ["a"]).union(cells(spark, [("1",), ("x",), ("x",), ("b",)], ["b"])))
+    df = P.profile(c)
+    assert {r["col_name"]: (r["max_value"], r["min_value"], r["n_distinct"]) for r in df.collect()} == {"a": ("2.0000", "1.0000", 2), "b": ("x", "b", 2)}
+    assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
