@@ -14,6 +14,8 @@ from tabulon.config import DATE_FORMATS, LINK_MARK, NULL_TOKENS, STYLE_MARK
 #: A float as text, without the suffixes that Java also takes.
 FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INTEGER = r"^[+-]?\d+(_\d+)*$"
+#: Texts that no cleaning step changes and that are numbers.
+PLAIN_INTEGER, PLAIN_FLOAT = r"\A-?[0-9]+\z", r"\A-?[0-9]+\.[0-9]+\z"
 
 
 def spark_format(strptime: str, printed: bool) -> str:
@@ -74,6 +76,12 @@ def tidy(c: Column) -> Column:
     return F.btrim(F.translate(c, " " + STYLE_MARK, " "), F.lit(" " + LINK_MARK))
 
 
+def plain_number(c: Column, otherwise: Column) -> Column:
+    """The struct of a text of digits alone, which is what most cells are, without the other steps; else ``otherwise``."""
+    make = lambda kind: F.struct(F.lit(kind).alias("kind"), c.try_cast("double").alias("num"), F.lit(None).cast("string").alias("txt"))
+    return F.when(c.rlike(PLAIN_INTEGER), make("int")).when(c.rlike(PLAIN_FLOAT), make("float")).otherwise(otherwise)
+
+
 def typed(c: Column, null_tokens: tuple[str, ...] = NULL_TOKENS, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """struct<kind, num, txt> of a text: kind is int, float, date or str; null for a null or a null token.
 
@@ -97,7 +105,8 @@ def typed(c: Column, null_tokens: tuple[str, ...] = NULL_TOKENS, formats: tuple[
 
     # each step is a value of its own: written out in one another they would be worked out many times over
     plain = F.btrim(F.trim(F.regexp_replace(F.translate(c, "−–—", "---"), '"', "")), F.lit(" \t\n\r\x0b\x0c"))
-    return F.when(c.isNull() | c.isin(*null_tokens), F.lit(None)).otherwise(let(plain, lambda s: let(F.regexp_replace(s, "[, ]", ""), lambda d: of(s, d))))
+    full = let(plain, lambda s: let(F.regexp_replace(s, "[, ]", ""), lambda d: of(s, d)))
+    return F.when(c.isNull() | c.isin(*null_tokens), F.lit(None)).otherwise(plain_number(c, full))
 
 
 def number(c: Column, kind: str = "float") -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.config import STYLE_MARK, Rules
-from tabulon.functions.values import let, tidy, typed
+from tabulon.functions.values import let, plain_number, tidy, typed
 
 
 def blacklisted(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -69,7 +69,7 @@ def clean(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
         return let(rest[0](c), lambda x: cleaned(x, rest[1:])) if rest else typed(c, rules.null_tokens, rules.date_formats)
 
     # null tokens count before trimming as well as after cleaning
-    v = F.when(F.col("raw").isin(*rules.null_tokens), F.lit(None)).otherwise(let(tidy(F.col("raw")), lambda x: cleaned(x, steps)))
+    v = F.when(F.col("raw").isin(*rules.null_tokens), F.lit(None)).otherwise(plain_number(F.col("raw"), let(tidy(F.col("raw")), lambda x: cleaned(x, steps))))
     return cells.withColumn("v", v)
 
 

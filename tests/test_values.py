@@ -29,6 +29,20 @@ def test_typed(spark):
     assert [tuple(g) if g else None for g in got] == [w for _, w in TYPED]
 
 
+def test_plain_numbers_skip_the_other_steps(spark):
+    never = F.raise_error(F.lit("not plain")).cast("struct<kind: string, num: double, txt: string>")
+    texts = ["0", "-7", "0012", "12.50", "-0.5", "9" * 30]
+    got = one(spark, texts, lambda c: V.plain_number(c, never))
+    assert [tuple(g) for g in got] == [("float" if "." in t else "int", float(t), None) for t in texts]
+    odd = ["", "-", "+5", "5.", ".5", "1_0", "1e5", "5\n", " 5", "٣", "--5", "1.2.3", "5d", None]
+    assert one(spark, odd, lambda c: V.plain_number(c, F.lit(None))) == [None] * len(odd)
+
+
+def test_number_that_is_a_null_token_is_null(spark):
+    got = one(spark, ["0", "00", "5"], lambda c: V.typed(c, ("0",)))
+    assert [tuple(g) if g else None for g in got] == [None, ("int", 0.0, None), ("int", 5.0, None)]
+
+
 def test_dates_agree_with_strptime(spark):
     texts = [datetime(2024, m, d).strftime(f) for f in DATE_FORMATS for m, d in ((1, 2), (5, 7), (9, 30), (12, 13))] + ["13/05/2025", "05/13/2025", "31/02/2025", "29 Feb", "week 7", "7 Sept 2025"]
 
