@@ -149,7 +149,8 @@ def curate(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """All rules in order. Cells of rejected tables, dropped rows and columns are gone; the rest have v.
 
     The same rules as above, but as windows over the cells instead of joins with their own aggregates:
-    cells are shuffled once, by table, and typed once. Every window's keys begin with the table.
+    cells are shuffled once, by table, and typed once. Every window's keys begin with the table. A task sorts
+    its cells three times, so their number of parts goes with the input, not with the session's cores.
     """
     table = Window.partitionBy("table_id")
     row, column = Window.partitionBy("table_id", "row_idx"), Window.partitionBy("table_id", "col_idx")
@@ -158,7 +159,7 @@ def curate(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     year = F.regexp_replace("raw", r"\[.*?\]", "").try_cast("double").between(1000, 3000)
     nameless_first = (F.col("col_idx") == 0) & F.coalesce(name == "Unnamed: 0", F.lit(False))
-    cells = cells.repartition("table_id")
+    cells = cells.repartition(_parts(cells), "table_id").sortWithinPartitions("table_id", "row_idx")  # one order for the tables' and the rows' windows
     cells = cells.withColumn("_other", yes(nameless_first & ~F.coalesce(year, F.lit(False)), table))
     cells = cells.withColumn("col_name", F.when(nameless_first & ~F.col("_other"), "Year").otherwise(name))
     listed = F.coalesce((name == "") | name.isin(*rules.blacklist), F.lit(False))
@@ -206,6 +207,20 @@ def curate(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return cells.select("table_id", "row_idx", "col_idx", "col_name", "raw", "v")
 
 
+#: Bytes of input (files, as they are read) in a part of ``curate``; its sorts took up to 126 MB for that of a compressed table.
+PART_BYTES = 256 << 10
+
+
+def _parts(cells: DataFrame) -> int:
+    """So many parts that each has PART_BYTES of the plan's input, sixteen times the session's shuffle partitions at most; those themselves where the size isn't known."""
+    spark = cells.sparkSession
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(cells._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:  # a frame without files, or a product of joined sizes
+        return usual
+    return max(min(usual, spark.sparkContext.defaultParallelism), min(-(-size // PART_BYTES), 16 * usual))
+
+
 def _without(cells: DataFrame, whole_table: bool, table) -> DataFrame:
     """Cells without bad columns, or without the tables that hold one."""
     if whole_table:

@@ -207,3 +207,15 @@ def test_a_profile_counts_kinds_by_cells_and_sorts_none(spark):
     df = P.profile(c)
     assert {r["col_name"]: (r["max_value"], r["min_value"], r["n_distinct"]) for r in df.collect()} == {"a": ("2.0000", "1.0000", 2), "b": ("x", "b", 2)}
     assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_curate_go_with_the_input(spark, tmp_path):
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, n in (("small", 3_000), ("large", 300_000)):
+        text = F.sha2(F.col("id").cast("string"), 256)
+        spark.range(n).select((F.col("id") % 100).alias("table_id"), F.col("id").alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("a").alias("col_name"), text.alias("raw")).write.parquet(str(tmp_path / name))
+    small, large = (spark.read.parquet(str(tmp_path / name)) for name in ("small", "large"))
+    assert U._parts(small) == usual < U._parts(large) <= 16 * usual
+    assert U._parts(cells(spark, [["1"]], ["a"]).rdd.toDF()) == usual  # a size that isn't known
+    plan = U.curate(large)._jdf.queryExecution().executedPlan().toString()
+    assert f", {U._parts(large)}), REPARTITION_BY_NUM" in plan and plan.count("Sort [") == 3
