@@ -209,16 +209,22 @@ def curate(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 #: Bytes of input (files, as they are read) in a part of ``curate``; its sorts took up to 126 MB for that of a compressed table.
 PART_BYTES = 256 << 10
+#: A shuffle to more parts than these holds its cells in memory and spills, so parts grow to LARGE_PART_BYTES first.
+FREE_PARTS, LARGE_PART_BYTES = 200, 4 << 20
 
 
 def _parts(cells: DataFrame) -> int:
-    """So many parts that each has PART_BYTES of the plan's input, sixteen times the session's shuffle partitions at most; those themselves where the size isn't known."""
+    """So many parts that each has PART_BYTES of the plan's input; of over FREE_PARTS so many that each has LARGE_PART_BYTES.
+
+    Sixteen times the session's shuffle partitions at most; those themselves where the size isn't known.
+    """
     spark = cells.sparkSession
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(cells._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 50:  # a frame without files, or a product of joined sizes
         return usual
-    return max(min(usual, spark.sparkContext.defaultParallelism), min(-(-size // PART_BYTES), 16 * usual))
+    parts = min(-(-size // PART_BYTES), max(FREE_PARTS, -(-size // LARGE_PART_BYTES)))
+    return max(min(usual, spark.sparkContext.defaultParallelism), min(parts, 16 * usual))
 
 
 def _without(cells: DataFrame, whole_table: bool, table) -> DataFrame:
